@@ -68,10 +68,10 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def _piece(b: np.ndarray, row_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, hashes) of the words of ``b``; a row's start also starts a word."""
+def _piece(b: np.ndarray, row_starts: np.ndarray, sep: np.ndarray, prefixes: tuple[int, ...]) -> list[np.ndarray]:
+    """Starts, ends, hashes and hashes of prefixes of the words of ``b``; a row's start also starts a word."""
     n = len(b)
-    w = ~SEP[b]
+    w = ~sep[b]
     first = w.copy()
     first[1:] &= ~w[:-1]
     row_starts = row_starts[row_starts < n]
@@ -83,12 +83,15 @@ def _piece(b: np.ndarray, row_starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     p, q = _POW.get(n + 1)
     total = np.zeros(n + 1, U)
     np.cumsum((b.astype(U) + U(1)) * p[:n], out=total[1:])
-    h = (total[ends] - total[starts]) * q[starts]
-    return starts, ends, mix(h)
+    out = [starts, ends, mix((total[ends] - total[starts]) * q[starts])]
+    for k in prefixes:
+        to = np.minimum(starts + k, ends)
+        out.append(mix((total[to] - total[starts]) * q[starts], k))
+    return out
 
 
-def words(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, hashes, first word of each row and their number) for all rows.
+def words(b: np.ndarray, offs: np.ndarray, sep: np.ndarray = SEP, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """(starts, ends, hashes, first word of each row and their number, hashes of prefixes ...) for all rows.
 
     Works piece by piece; a row longer than a piece is cut at a separator.
     """
@@ -101,18 +104,18 @@ def words(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
                 to = int(offs[k])
             else:
                 stop = int(offs[k + 1])
-                while to < stop and not SEP[b[to]]:
-                    step = np.flatnonzero(SEP[b[to : min(stop, to + 4096)]])
+                while to < stop and not sep[b[to]]:
+                    step = np.flatnonzero(sep[b[to : min(stop, to + 4096)]])
                     to = to + int(step[0]) if len(step) else min(stop, to + 4096)
         inside = offs[np.searchsorted(offs, at) : np.searchsorted(offs, to)] - at
-        s, e, h = _piece(b[at:to], inside)
-        got.append((s + at, e + at, h))
+        s, e, *h = _piece(b[at:to], inside, sep, prefixes)
+        got.append((s + at, e + at, *h))
         at = to
     if not got:
         z = np.zeros(0, np.int64)
-        return z, z, np.zeros(0, U), np.zeros(len(offs), np.int64)
-    s, e, h = (np.concatenate(x) for x in zip(*got, strict=True))
-    return s, e, h, np.searchsorted(s, offs)
+        return z, z, np.zeros(0, U), np.zeros(len(offs), np.int64), *(np.zeros(0, U) for _ in prefixes)
+    s, e, h, *more = (np.concatenate(x) for x in zip(*got, strict=True))
+    return s, e, h, np.searchsorted(s, offs), *more
 
 
 def slices(offs: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
