@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, phrases, secrets, toxicity, urls
+from . import bpe, decontam, jaccard, lattice, lm, phrases, quotes, secrets, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -84,3 +84,30 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document at five words and similarity 0.8."""
     out = jaccard.similar_groups(table(spark, sf_dir, "documents"))
     return out.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op9_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector at cosine 0.9."""
+    out = lattice.similar_vectors(table(spark, sf_dir, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+@query
+def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the alignment's score and place."""
+    out = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss of every document under a model of good documents less that under a model of all."""
+    docs = lm.marked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return lm.score(docs, lm.train(docs)).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op6_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message without quotes, with what it answers and its place in the thread."""
+    return quotes.formatted(quotes.link(table(spark, sf_dir, "conversations")))
