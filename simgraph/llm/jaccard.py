@@ -28,6 +28,8 @@ LAMBDA = 0.8
 SKETCH = 128
 #: Members of a bucket or group that one kernel compares at once.
 SMALL, TILE = 2048, 256
+#: Tokens that a set samples in the mean where a large bucket is split.
+SPLIT = 3.0
 
 
 def gram_sets(texts: pa.Array, k: int):
@@ -153,7 +155,9 @@ def similar_groups(df: DataFrame, n: int = 5, similarity: float = 0.8, recall: f
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    runs = math.ceil(math.log(1 / (1 - recall)))
+    # a shared bucket that is split keeps a pair together with this probability
+    kept = 1 - math.exp(-similarity * SPLIT)
+    runs = math.ceil(math.log(1 / (1 - recall)) / kept)
     rate = runs / LAMBDA
 
     def signatures(batches):
@@ -187,7 +191,7 @@ def similar_groups(df: DataFrame, n: int = 5, similarity: float = 0.8, recall: f
     reps = materialize(reps.select("id", "n", "sketch", "tokens"))
 
     picked = reps.select("id", F.explode("tokens").alias("bucket"))
-    loose = _bucket_edges(picked, reps, similarity, rate)
+    loose = _bucket_edges(picked, reps, similarity)
     groups = connected_components(loose, "a", "b").filter("component is not null")
     exact = _verify(rows, groups, member, n, similarity)
     links = exact.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("weight").alias("linked"))
@@ -203,7 +207,7 @@ def similar_groups(df: DataFrame, n: int = 5, similarity: float = 0.8, recall: f
     return out.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copy_of", "id").alias("copy_of"))
 
 
-def _bucket_edges(picked: DataFrame, reps: DataFrame, similarity: float, rate: float) -> DataFrame:
+def _bucket_edges(picked: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
     """``(a, b)`` stars of representatives whose sketches agree in a bucket they chose together."""
 
     def compare(batches):
@@ -217,7 +221,7 @@ def _bucket_edges(picked: DataFrame, reps: DataFrame, similarity: float, rate: f
             k = b.column(0).to_numpy()
             with np.errstate(over="ignore"):
                 token = mix(k.view(U)[:, None] * U(0x9E3779B97F4A7C15) + s.astype(U) * U(SKETCH) + np.arange(SKETCH, dtype=U), 6)
-            r, c = np.nonzero(mix(token, 7).astype(np.float64) / 2.0**64 < rate / SKETCH)
+            r, c = np.nonzero(mix(token, 7).astype(np.float64) / 2.0**64 < SPLIT / SKETCH)
             yield pa.RecordBatch.from_arrays([pa.array(token[r, c].view(np.int64)), *(b.column(x).take(pa.array(r)) for x in (1, 2, 3))], ["bucket", "id", "n", "sketch"])
 
     def shared(rows: DataFrame):
@@ -320,7 +324,8 @@ def _verify(rows: DataFrame, groups: DataFrame, member: DataFrame, n: int, simil
             for i, j in zip(first, ends, strict=True):
                 _link(t.slice(i, j - i), similarity, a, b, w)
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b), pa.int64(), mask=np.concatenate(b) < np.iinfo(np.int64).min + 1), pa.array(np.concatenate(w))], ["a", "b", "weight"])
+                none = np.concatenate([np.full(len(x), k % 2 == 0) for k, x in enumerate(a)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b), pa.int64(), mask=none), pa.array(np.concatenate(w))], ["a", "b", "weight"])
 
     return materialize(full.repartition("cell").sortWithinPartitions("cell").mapInArrow(link, "a long, b long, weight long"))
 
@@ -358,7 +363,6 @@ def _link(t: pa.Table, similarity: float, a: list, b: list, w: list) -> None:
         return
     root = _roots(linked)
     other = np.flatnonzero(root != np.arange(len(ids)))
-    none = np.iinfo(np.int64).min
     a += [ids[some], ids[other]]
-    b += [np.full(len(some), none), ids[root[other]]]
+    b += [np.full(len(some), -1), ids[root[other]]]
     w += [total[some].astype(np.int64), np.zeros(len(other), np.int64)]
