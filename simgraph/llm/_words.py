@@ -15,7 +15,7 @@ U = np.uint64
 SEP = np.zeros(256, bool)
 SEP[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text handled at once; arrays of eight bytes a character stay within the caches' reach.
-PIECE = 1 << 19
+PIECE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 
@@ -118,7 +118,7 @@ def words(b: np.ndarray, offs: np.ndarray, sep: np.ndarray = SEP, prefixes: tupl
     return s, e, h, np.searchsorted(s, offs), *more
 
 
-def slices(offs: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(offs: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows that hold about ``most`` bytes each, one row at least."""
     i, n = 0, len(offs) - 1
     while i < n:

@@ -30,7 +30,7 @@ def _runs_of_words(batches, column: int, most: int = 8 << 20):
     held, n = [], 0
     for b in batches:
         t, offs = buffers(b.column(column))
-        for i, j in slices(offs):
+        for i, j in slices(offs, 4 << 20):
             h = words(t[offs[i] : offs[j]], offs[i : j + 1] - offs[i])[2]
             held.append(h)
             n += len(h)
@@ -121,7 +121,7 @@ def train(docs: DataFrame, size: int = VOCABULARY) -> Pair:
         for b in batches:
             t, offs = buffers(b.column(0))
             goal = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for i, j in slices(offs):
+            for i, j in slices(offs, 4 << 20):
                 _, _, h, rows = words(t[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 pair, w = _pairs(h, rows, vocab, classes)
                 mine = goal[i:j][np.repeat(np.arange(j - i), np.diff(rows))]
@@ -173,7 +173,7 @@ def score(docs: DataFrame, pair: Pair) -> DataFrame:
     def run(batches):
         for b in batches:
             t, offs = buffers(b.column(1))
-            for i, j in slices(offs):
+            for i, j in slices(offs, 4 << 20):
                 _, _, h, rows = words(t[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 x = pair.losses(h, rows)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(rows).astype(np.int64)), pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy()), pa.array(x[:, 0] - x[:, 1])], ["id", "n_words", "loss_target", "loss_background", "score"])
