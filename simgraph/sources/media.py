@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import io
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType, pandas_udf
@@ -41,20 +42,21 @@ def probe(df: DataFrame, prober: Callable[[str], dict], path: str = "path") -> D
 
     fps comes as numerator and denominator; a zero denominator is null.
     """
-    names = ["width", "height", "fps_num", "fps_den", "duration", "format_duration", "codec"]
+    names = {"width": pa.int32(), "height": pa.int32(), "fps_num": pa.float64(), "fps_den": pa.float64(), "duration": pa.float64(), "format_duration": pa.float64(), "codec": pa.string()}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches):
         for b in batches:
             rows = []
-            for p in b[path]:
+            for p in b.column(b.schema.get_field_index(path)).to_pylist():
                 try:
                     rows.append(prober(p))
                 except Exception:  # noqa: BLE001  an unreadable file is a row of nulls
                     rows.append({})
-            yield pd.concat([b.reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
+            new = [pa.array([r.get(n) for r in rows], t) for n, t in names.items()]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *names])
 
     base = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
-    out = df.mapInPandas(run, base + ", width int, height int, fps_num double, fps_den double, duration double, format_duration double, codec string")
+    out = df.mapInArrow(run, base + ", width int, height int, fps_num double, fps_den double, duration double, format_duration double, codec string")
     fps = F.when(F.col("fps_den") != 0, F.col("fps_num") / F.col("fps_den"))
     return out.withColumns({"fps": fps, "duration": F.coalesce("duration", "format_duration")}).drop("fps_num", "fps_den", "format_duration")
 
