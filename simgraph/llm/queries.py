@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, jaccard, lattice, lm, phrases, quotes, secrets, toxicity, urls
+from . import bpe, decontam, jaccard, lattice, lm, oracles, phrases, quotes, secrets, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_jaccard": oracles.OP2, "op7_phrases": oracles.OP7, "op9_lattice": oracles.OP9}
 
 
 def query(f):
