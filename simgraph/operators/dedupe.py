@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hash import band_keys, hamming, to_long
+from ..session import materialize
 from .graph import connected_components
 
 
@@ -29,8 +30,6 @@ def ranks(keys: DataFrame, col: str, out: str) -> DataFrame:
     Range partitions are counted and numbered; rows then add what lies before their partition.
     """
     spread = keys.repartitionByRange(F.col(col)).withColumn("_part", F.spark_partition_id())
-    from ..session import materialize
-
     spread = materialize(spread)
     before = spread.groupBy("_part").count().withColumn("_before", F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(col)) - 1
@@ -52,6 +51,10 @@ def lsh_candidates(hashes: DataFrame, columns: Sequence[str], threshold: int, id
     With threshold+1 bands, two hashes within ``threshold`` bits share one. Equal hashes meet as one
     representative and are expanded afterwards, so a common hash does not fill a bucket.
     """
+    return _candidates(materialize(hashes.select(id_col, *columns)), columns, threshold, id_col)
+
+
+def _candidates(hashes: DataFrame, columns: Sequence[str], threshold: int, id_col: str) -> DataFrame:
     out = None
     for c in columns:
         rep = hashes.filter(F.col(c).isNotNull()).groupBy(c).agg(F.min(id_col).alias("rep"))
@@ -68,7 +71,8 @@ def lsh_candidates(hashes: DataFrame, columns: Sequence[str], threshold: int, id
 
 def hamming_pairs(hashes: DataFrame, columns: Sequence[str], threshold: int, id_col: str = "asset_id") -> DataFrame:
     """``(a, b, distance)`` of candidates within ``threshold`` bits in any of the hashes."""
-    cand = lsh_candidates(hashes, columns, threshold, id_col)
+    hashes = materialize(hashes.select(id_col, *columns))  # hashes are dear, and read on every side of the joins
+    cand = _candidates(hashes, columns, threshold, id_col)
     a = hashes.select(F.col(id_col).alias("a"), *[F.col(c).alias(f"a_{c}") for c in columns])
     b = hashes.select(F.col(id_col).alias("b"), *[F.col(c).alias(f"b_{c}") for c in columns])
     best = F.least(*[hamming(F.col(f"a_{c}"), F.col(f"b_{c}")) for c in columns]) if len(columns) > 1 else hamming(F.col(f"a_{columns[0]}"), F.col(f"b_{columns[0]}"))

@@ -430,9 +430,9 @@ def _faced(c):
     return entities.faces_by_detection(c.boxes(), f.select("asset_id", "det_id", "face_id", "confidence"))
 
 
-@query(["boxes", "faces"], _BEST + " SELECT b.asset_id, b.det_id, CAST(count(face_id) AS INTEGER) AS n_faces, min(face_id) AS first_face FROM boxes b LEFT JOIN bm ON bm.det_id = b.det_id GROUP BY b.asset_id, b.det_id")
+@query(["boxes", "faces"], _BEST + " SELECT b.asset_id, b.det_id, CAST(count(face_id) AS INTEGER) AS n_faces, coalesce(min(face_id), -1) AS first_face FROM boxes b LEFT JOIN bm ON bm.det_id = b.det_id GROUP BY b.asset_id, b.det_id")
 def faces_grouped_to_detection(c):
-    return _faced(c).select("asset_id", "det_id", F.size("faces").alias("n_faces"), F.get("faces", F.lit(0))["face_id"].alias("first_face"))
+    return _faced(c).select("asset_id", "det_id", F.size("faces").alias("n_faces"), F.coalesce(F.get("faces", F.lit(0))["face_id"], F.lit(-1)).alias("first_face"))
 
 
 @query(["boxes"], "SELECT det_id, confidence FROM boxes WHERE confidence >= 0.6")
@@ -637,14 +637,14 @@ def _members(c):
     return long.join(c.sql(C.CLUSTERS).select("entity_id", F.col("cluster_id").cast("int").alias("cluster_id")), "entity_id")
 
 
-@query(["clus"], _MEM + " SELECT entity_id, CAST(cluster_id AS INTEGER) AS cluster_id, modality, round(s, 6) + 0.0::DOUBLE AS similarity FROM sim")
+@query(["clus"], _MEM + " SELECT entity_id, CAST(cluster_id AS INTEGER) AS cluster_id, modality, coalesce(round(s, 6) + 0.0::DOUBLE, -1.0::DOUBLE) AS similarity FROM sim")
 def cluster_detail_items(c):
-    return views.own_similarity(_members(c)).select("entity_id", "cluster_id", "modality", r6(F.col("similarity")).alias("similarity"))
+    return views.own_similarity(_members(c)).select("entity_id", "cluster_id", "modality", F.coalesce(r6(F.col("similarity")), F.lit(-1.0)).alias("similarity"))
 
 
-@query(["clus"], _MEM + " SELECT CAST(cluster_id AS INTEGER) AS cluster_id, modality, round(avg(s), 6) + 0.0::DOUBLE AS average, count(s) AS coverage FROM sim GROUP BY cluster_id, modality")
+@query(["clus"], _MEM + " SELECT CAST(cluster_id AS INTEGER) AS cluster_id, modality, coalesce(round(avg(s), 6) + 0.0::DOUBLE, -1.0::DOUBLE) AS average, count(s) AS coverage FROM sim GROUP BY cluster_id, modality")
 def modality_coverage(c):
-    return views.modality_coverage(views.own_similarity(_members(c))).withColumn("average", r6(F.col("average")))
+    return views.modality_coverage(views.own_similarity(_members(c))).withColumn("average", F.coalesce(r6(F.col("average")), F.lit(-1.0)))
 
 
 @query(["clus"], _MEM + ", cov AS (SELECT cluster_id, modality, avg(s) AS a, count(s) AS n FROM sim GROUP BY cluster_id, modality) SELECT modality, round(sum(a * n) / sum(n), 6) + 0.0::DOUBLE AS average, CAST(sum(n) AS BIGINT) AS coverage, (SELECT count(*) FROM clus WHERE cluster_id IN (1, 2, 3)) AS size FROM cov WHERE cluster_id IN (1, 2, 3) GROUP BY modality")
