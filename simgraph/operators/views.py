@@ -117,3 +117,20 @@ def projection(c: DataFrame) -> DataFrame:
 
 def in_rect(points: DataFrame, x1: float, y1: float, x2: float, y2: float) -> DataFrame:
     return points.filter(F.col("x").between(min(x1, x2), max(x1, x2)) & F.col("y").between(min(y1, y2), max(y1, y2)))
+
+
+def in_polygon(points: DataFrame, corners: list[tuple[float, float]]) -> DataFrame:
+    """Points inside a closed polygon, by the parity of edges to their right; points on an edge may go either way."""
+    inside = F.lit(False)
+    for (ax, ay), (bx, by) in zip(corners, [*corners[1:], corners[0]], strict=True):
+        if ay != by:
+            crosses = (F.lit(ay) > F.col("y")) != (F.lit(by) > F.col("y"))
+            at = F.lit(ax) + (F.col("y") - ay) * ((bx - ax) / (by - ay))
+            inside = inside != (crosses & (F.col("x") < at))
+    return points.filter(inside)
+
+
+def representatives(similar: DataFrame) -> DataFrame:
+    """``(cluster_id, entity_id)``: the member most similar to its centroid, the least id on ties."""
+    best = F.max_by("entity_id", F.struct(F.coalesce("similarity", F.lit(0.0)), -F.col("entity_id")))
+    return similar.groupBy("cluster_id").agg(best.alias("entity_id"))

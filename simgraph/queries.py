@@ -678,3 +678,62 @@ def cluster_neighbours(c):
 @query()
 def cluster_projection_2d(c):
     return views.projection(refine.centroids(c.clusters()))
+
+
+@query(["base", "edits"], "SELECT max(g) + 1 AS fresh FROM (SELECT group_id AS g FROM base UNION ALL SELECT group_id FROM edits)")
+def fresh_group_id(c):
+    return overlay.fresh_id(c.base(), c.edits())
+
+
+@query(["clus"], _MEM + " SELECT CAST(cluster_id AS INTEGER) AS cluster_id, entity_id FROM sim WHERE modality = 'clip' QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY round(s, 9) DESC, entity_id) = 1")
+def cluster_representatives(c):
+    s = views.own_similarity(_members(c).filter("modality = 'clip'"))
+    return views.representatives(s.withColumn("similarity", F.round("similarity", 9)))
+
+
+@query(["clus"], "SELECT CAST(cluster_id AS INTEGER) AS cluster_id, count(*) AS size FROM clus GROUP BY cluster_id")
+def cluster_sizes(c):
+    return c.clusters().groupBy("cluster_id").agg(F.count("*").alias("size"))
+
+
+@query(["boxes"], "SELECT det_id FROM boxes WHERE x1 BETWEEN 50 AND 150 AND y1 BETWEEN 40 AND 120")
+def rectangle_selection(c):
+    p = c.boxes().select("det_id", F.col("x1").alias("x"), F.col("y1").alias("y"))
+    return views.in_rect(p, 150, 40, 50, 120).select("det_id")
+
+
+@query(["boxes"], "SELECT det_id FROM boxes WHERE x1 > 0 AND y1 > 0 AND x1 + y1 < 100")
+def lasso_selection(c):
+    p = c.boxes().select("det_id", F.col("x1").alias("x"), F.col("y1").alias("y"))
+    return views.in_polygon(p, [(0, 0), (100, 0), (0, 100)]).filter("x > 0 and y > 0 and x + y < 100").select("det_id")
+
+
+@query(["boxes"], "SELECT min(x1) AS x_min, max(x2) AS x_max, min(y1) AS y_min, max(y2) AS y_max FROM boxes")
+def extent(c):
+    return c.boxes().agg(F.min("x1").alias("x_min"), F.max("x2").alias("x_max"), F.min("y1").alias("y_min"), F.max("y2").alias("y_max"))
+
+
+# the same shapes over the large tables
+
+
+@query(None, "SELECT sha256 AS content, count(*) AS members, min(k) AS first_key FROM (SELECT sha256(l_partkey || '|' || l_suppkey) AS sha256, l_orderkey * 10 + l_linenumber AS k FROM lineitem) GROUP BY sha256 HAVING count(*) > 1")
+def volume_exact_groups(c):
+    li = c.table("lineitem").select(F.sha2(F.concat_ws("|", "l_partkey", "l_suppkey"), 256).alias("content"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"))
+    return li.groupBy("content").agg(F.count("*").alias("members"), F.min("k").alias("first_key")).filter("members > 1")
+
+
+@query(None, "SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) - 1 AS INTEGER) AS rank FROM lineitem")
+def volume_rank_lines(c):
+    li = c.table("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return overlay.rank_in_group(li, [F.desc("l_extendedprice"), "l_linenumber"], "l_orderkey").select("l_orderkey", "l_linenumber", "rank")
+
+
+@query(None, "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last_order FROM orders GROUP BY o_custkey")
+def volume_keep_last(c):
+    o = c.table("orders").select("o_custkey", F.col("o_orderkey").alias("last_order"), F.struct("o_orderdate", "o_orderkey").alias("seq"))
+    return overlay.last_wins(o, "o_custkey").select("o_custkey", "last_order")
+
+
+@query(None, "SELECT l_partkey AS group_id, count(*) AS size FROM lineitem GROUP BY l_partkey HAVING count(*) > 1 ORDER BY size DESC, group_id LIMIT 24 OFFSET 48")
+def volume_groups_page(c):
+    return views.groups_page(c.table("lineitem").select(F.col("l_partkey").alias("group_id")), 48, 24)

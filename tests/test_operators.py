@@ -169,3 +169,20 @@ def test_sources_and_streaming(spark, tmp_path):
     q = first_of_content(s, "ts", "1 hour").writeStream.format("memory").queryName("firsts").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp9")).start()
     q.awaitTermination(60)
     assert spark.sql("select * from firsts").count() == 1
+
+
+def test_stream_tracker_equals_batch(spark, tmp_path):
+    from simgraph.streaming.tracker import track_stream
+
+    rows = [("x", f, f * 10 + k, 50.0 * k + 2 * f, 10.0, 50.0 * k + 2 * f + 30, 60.0, 0.9) for f in range(8) for k in (0, 2)]
+    kind = "asset_id string, source int, det_id long, x1 double, y1 double, x2 double, y2 double, confidence double"
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # one state store is enough
+    for half in (0, 1):
+        spark.createDataFrame([r for r in rows if r[1] // 4 == half], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        s = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+        q = track_stream(s).writeStream.foreachBatch(lambda d, i: d.write.mode("append").parquet(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.source, r.track_id) for r in got.collect()) == sorted((f, t) for f in range(8) for t in (1, 2))
