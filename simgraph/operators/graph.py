@@ -29,6 +29,15 @@ def _state(e: DataFrame) -> tuple:
     return r[0], r[1]
 
 
+def _is_star(e: DataFrame) -> bool:
+    """Whether every vertex that hangs on another does so once, on one that hangs on none."""
+    hung = e.groupBy("u").agg(F.count("*").alias("n"))
+    marks = hung.select(F.col("u").alias("x"), (F.col("n") > 1).alias("bad"), F.lit(True).alias("low"), F.lit(False).alias("top"))
+    marks = marks.union(e.select("v").distinct().select("v", F.lit(False), F.lit(False), F.lit(True)))
+    per = marks.groupBy("x").agg((F.max("bad") | (F.max("low") & F.max("top"))).alias("bad"))
+    return per.filter("bad").isEmpty()
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """``(vertex, component)`` for every vertex of ``edges``; a component is its least vertex.
 
@@ -39,9 +48,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """
     e0 = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u is not null and v is not null")
     e0 = materialize(e0.distinct())
-    cur, state = e0.filter("u <> v"), None
+    cur, state = e0.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), None
     held = None
-    for _ in range(max_rounds):
+    for turn in range(0 if _is_star(cur) else max_rounds):
         nxt = materialize(_small_star(_large_star(cur)))
         now = _state(nxt)
         if held is not None:
@@ -50,7 +59,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        if turn == max_rounds - 1:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     known = e0.select("u").union(e0.select(F.col("v").alias("u"))).distinct()
     return known.join(cur.select("u", F.col("v").alias("m")), "u", "left").select(F.col("u").alias("vertex"), F.coalesce("m", "u").alias("component"))
