@@ -71,16 +71,16 @@ def fit_machine(docs: list[np.ndarray], y: np.ndarray, factors: int = 8, epochs:
     if not n1 or not n0:
         p = (n1 + 1) / (n1 + n0 + 2) if len(y) else 0.0
         return Machine(index, np.zeros(1), np.zeros((1, factors)), float(np.log(max(p, 1e-9) / max(1 - p, 1e-9))))
-    flat = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    a, b = np.bincount(flat, y[row], BUCKETS), np.bincount(flat, 1 - y[row], BUCKETS)
+    a, b = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
+    for d, t in zip(docs, y, strict=True):
+        (a if t else b)[d] += 1
     odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
     var = 1 / (a + 0.5) + 1 / (n1 - a + 0.5) + 1 / (b + 0.5) + 1 / (n0 - b + 0.5)
     keep = np.flatnonzero((a + b >= least) & (np.abs(odds) / np.sqrt(var) >= z))
     index[keep] = np.arange(len(keep))
-    f = index[flat]
-    row, f = row[f >= 0], f[f >= 0]
-    starts = np.searchsorted(row, np.arange(len(docs) + 1))
+    known = [(f := index[d])[f >= 0] for d in docs]
+    f = np.concatenate(known)
+    starts = np.concatenate([[0], np.cumsum([len(k) for k in known])])
     r = np.random.default_rng(seed)
     w, v, bias = np.zeros(max(1, len(keep))), r.normal(0, 0.05, (max(1, len(keep)), factors)), float(np.log(n1 / n0))
     gw, gv, gb = np.full_like(w, 1e-2), np.full_like(v, 1e-2), 1e-2
@@ -132,9 +132,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), y.slice(i, j - i)], ["x", "y"])
 
     sample = got.mapInArrow(run, "x binary, y int").orderBy(F.xxhash64("x"), "x", "y").limit(2 * sample_rows).toArrow()
-    order = sorted(range(sample.num_rows), key=lambda i: (sample["x"][i].as_py(), sample["y"][i].as_py()))
-    xs = [np.frombuffer(sample["x"][i].as_py(), np.int32).astype(np.int64) for i in order]
-    return fit_machine(xs, np.array([float(sample["y"][i].as_py() > 0) for i in order]))
+    xs = [np.frombuffer(x.as_buffer(), np.int32) for x in sample["x"]]
+    return fit_machine(xs, (sample["y"].to_numpy() > 0).astype(float))
 
 
 def score(df: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
