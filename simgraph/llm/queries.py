@@ -104,7 +104,7 @@ def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loss of every document under a model of good documents less that under a model of all."""
     docs = lm.marked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return lm.score(docs, lm.train(docs)).withColumnRenamed("id", "doc_id")
+    return lm.differences(docs).withColumnRenamed("id", "doc_id")
 
 
 @query

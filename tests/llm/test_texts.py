@@ -254,6 +254,37 @@ def test_model_scores_equal_plain_counts(spark):
     assert got[60].score == got[61].score == 0 and got[60].n_words == 0
 
 
+def test_op3_equals_whole_bigram_counts(spark, tmp_path, monkeypatch):
+    from simgraph.llm.queries import QUERIES
+
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 20_000, raising=False)
+    r = random.Random(12)
+    texts = [" ".join(f"w{int(r.random() ** 2 * 4000)}" for _ in range(r.randint(0, 120))) for _ in range(300)] + [None, "", " "]
+    frame(spark, texts).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {x.doc_id: x for x in QUERIES["op3_lm"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    split = [(t or "").split() for t in texts]
+    distinct = len({w for t in split for w in t})
+    assert distinct > 2000
+    for name, mine in (("loss_target", lambda i: i < 300 and i % 2 == 1), ("loss_background", lambda i: True)):
+        uni, two, hist = {}, {}, {}
+        for i, t in enumerate(split):
+            if mine(i):
+                for v, w in zip(["<s>", *t], t, strict=False):
+                    uni[w], two[v, w], hist[v] = uni.get(w, 0) + 1, two.get((v, w), 0) + 1, hist.get(v, 0) + 1
+        total = sum(uni.values())
+        for i, t in enumerate(split):
+            loss = 0.0
+            for v, w in zip(["<s>", *t], t, strict=False):
+                p = (uni.get(w, 0) + 0.5) / (total + 0.5 * (distinct + 1))
+                loss -= math.log((two.get((v, w), 0) + lm.PRIOR * p) / (hist.get(v, 0) + lm.PRIOR))
+            assert got[i].n_words == len(t) and abs(got[i][name] - loss / max(len(t), 1)) < 1e-9
+    assert all(got[i].score == 0 for i in (300, 301, 302))
+    none = lm.marked(frame(spark, ["a"]).limit(0), spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    assert lm.differences(none).count() == 0
+
+
 def test_quotations(spark):
     rows = [
         (1, 0, "user", "How do I sort a list?\n\nIt has names."),
