@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are lower-case words and two of their prefixes, hashed into ``BUCKETS`` numbers. A term counts once a
-document. Those associated with the label in the training sample enter the machine, whose factors give
+document. Those associated with the label in the training sample, alone or in a pair, enter the machine, whose factors give
 each pair of terms a weight of its own, so that an insult beside a group's name weighs more than
 both alone.
 """
@@ -60,11 +60,55 @@ class Machine:
         return out
 
 
+def _paired(docs: list[np.ndarray], y: np.ndarray, least: int, chance: float = 0.05) -> np.ndarray:
+    """Buckets of all pairs whose documents differ in the label's share from those of either member.
+
+    The share of a pair's documents is tested against the greater, or the lesser, of both members' and of all, by the
+    likelihood ratio at ``chance`` over all pairs (Bonferroni). Buckets in too few documents of a label
+    for any pair of theirs to pass are left out first, which loses none.
+    """
+    p = y.mean()
+    df, tox = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
+    for d, t in zip(docs, y, strict=True):
+        df[d] += 1
+        tox[d] += t
+    n = float(np.count_nonzero(df >= least))
+    g = 2 * np.log(max(n * n, 2) / chance)  # the chi-square's tail is below exp(-g / 2)
+    rates = tox / np.maximum(df, 1)
+    passed = np.zeros(BUCKETS, bool)
+    for want, share in ((1.0, p), (0.0, 1 - p)):
+        one = tox if want else df - tox
+        ids = np.flatnonzero((df >= least) & (one * 2 * np.log(1 / share) >= g))
+        if len(ids) < 2:
+            continue
+        place = np.full(BUCKETS, -1, np.int32)
+        place[ids] = np.arange(len(ids))
+        x = np.zeros((len(docs), len(ids)), np.uint8)
+        for i, d in enumerate(docs):
+            x[i, (k := place[d])[k >= 0]] = 1
+        hit = y == want
+        r = rates[ids] if want else 1 - rates[ids]
+        for i in range(0, len(ids), 512):
+            k, m = (np.zeros((min(512, len(ids) - i), len(ids)), np.float32) for _ in "km")
+            for j in range(0, len(docs), 1000):
+                c, z = x[j : j + 1000].astype(np.float32), hit[j : j + 1000]
+                k += c[z, i : i + 512].T @ c[z]
+                m += c[~z, i : i + 512].T @ c[~z]
+            m += k
+            base = np.clip(np.maximum(np.maximum(r[i : i + 512, None], r[None]), share), 1e-6, 1 - 1e-6)
+            q = np.divide(k, m, out=np.zeros_like(k), where=m > 0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                ratio = 2 * (np.where(k > 0, k * np.log(q / base), 0) + np.where(m > k, (m - k) * np.log((1 - q) / (1 - base)), 0))
+            a, b = np.nonzero((q > base) & (m >= least) & (ratio >= g))
+            passed[ids[a + i]] = passed[ids[b]] = True
+    return np.flatnonzero(passed)
+
+
 def fit_machine(docs: list[np.ndarray], y: np.ndarray, factors: int = 8, epochs: int = 40, rate: float = 0.05, least: int = 6, z: float = 3.5, decay: float = 2e-3, seed: int = 5) -> Machine:
-    """Choose terms by the z score of their log odds, then fit by Adagrad on the logistic loss.
+    """Choose terms by the z score of their log odds or by pairs, then fit by Adagrad on the logistic loss.
 
     ``docs`` holds the distinct buckets of each labelled document. A term needs ``least`` documents and a
-    z score of ``z``. Without both labels the machine knows nothing and always gives the share of 1.
+    z score of ``z``, or a pair that says more than its members alone. Without both labels the machine knows nothing and always gives the share of 1.
     """
     n1, n0 = float(y.sum()), float((1 - y).sum())
     index = np.full(BUCKETS, -1, np.int32)
@@ -76,7 +120,8 @@ def fit_machine(docs: list[np.ndarray], y: np.ndarray, factors: int = 8, epochs:
         (a if t else b)[d] += 1
     odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
     var = 1 / (a + 0.5) + 1 / (n1 - a + 0.5) + 1 / (b + 0.5) + 1 / (n0 - b + 0.5)
-    keep = np.flatnonzero((a + b >= least) & (np.abs(odds) / np.sqrt(var) >= z))
+    alone = np.flatnonzero((a + b >= least) & (np.abs(odds) / np.sqrt(var) >= z))
+    keep = np.union1d(alone, _paired(docs, y, least))
     index[keep] = np.arange(len(keep))
     known = [(f := index[d])[f >= 0] for d in docs]
     f = np.concatenate(known)

@@ -163,6 +163,19 @@ def test_machine_learns_pairs():
     assert np.mean(hit) > 0.9  # no sum of single weights exceeds one half here
 
 
+def test_machine_learns_pairs_by_default(spark):
+    r = np.random.default_rng(6)
+    texts, y = [], []
+    for _ in range(2500):
+        a, b = r.random(2) < 0.5
+        texts.append(" ".join(["alpha"] * int(a) + ["omega"] * int(b) + [f"w{k}" for k in r.integers(10, 400, 8)]))
+        y.append(int(a == b))
+    docs = frame(spark, texts)
+    m = toxicity.train(docs, spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int"))
+    got = {x.id: x.score for x in toxicity.score(docs, m).collect()}
+    assert np.mean([(got[i] >= 0.5) == bool(t) for i, t in enumerate(y)]) > 0.9
+
+
 def test_toxicity_frames(spark):
     r = random.Random(7)
     calm = lambda: " ".join(r.choice("tree river stone cloud walk read song bread".split()) for _ in range(20))
