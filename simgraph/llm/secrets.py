@@ -99,6 +99,7 @@ class CharCNN:
     slope: float = 1.0
     shift: float = 0.0
     thresholds: tuple = (0.5, 0.5, 0.5)
+    precision: tuple = (0.0, 0.0, 0.0)
 
     def __post_init__(self) -> None:
         r = np.random.default_rng(self.seed)
@@ -160,10 +161,9 @@ class CharCNN:
         return self
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, shapes: np.ndarray, recall: float) -> CharCNN:
-        """Platt scaling, then for each shape the highest threshold, 0.5 at least, that keeps ``recall``.
+        """Platt scaling, then for each shape the highest threshold, 0.95 at most, that keeps ``recall``.
 
-        Where 0.5 already loses more than that, the threshold falls to the calibrated score that keeps it,
-        but not below the highest score of a labelled negative of that shape.
+        The labelled negatives do not move it; ``precision`` is what results on the findings given.
         """
         z = self.logits(x)
         t = (y * y.sum() + y) / (y.sum() + 2) + (1 - y) / ((1 - y).sum() + 2) if len(y) else y
@@ -171,12 +171,13 @@ class CharCNN:
             p = 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -30, 30)))
             self.slope -= 0.3 * float(np.mean((p - t) * z)) if len(z) else 0.0
             self.shift -= 0.3 * float(np.mean(p - t)) if len(z) else 0.0
-        p, out = self.scores(x), []
+        p, out, right = self.scores(x), [], []
         for k in range(3):
             good, bad = np.sort(p[(shapes == k) & (y == 1)]), p[(shapes == k) & (y == 0)]
-            keep = good[int((1 - recall) * len(good))] if len(good) else 0.5
-            out.append(float(max(min(keep, 0.95), bad.max() + 1e-6 if len(bad) and keep < 0.5 else min(keep, 0.5))))
-        self.thresholds = tuple(out)
+            out.append(min(float(good[int((1 - recall) * len(good))]), 0.95) if len(good) else 0.5)
+            hits = int((good >= out[k]).sum())
+            right.append(hits / max(hits + int((bad >= out[k]).sum()), 1))
+        self.thresholds, self.precision = tuple(out), tuple(right)
         return self
 
 

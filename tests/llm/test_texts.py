@@ -151,6 +151,17 @@ def test_secret_network_generalises():
     assert hit[y[1000:] == 1].mean() > 0.9 and hit[y[1000:] == 0].mean() < 0.05
 
 
+def test_secret_thresholds_keep_recall(monkeypatch):
+    p = np.concatenate([np.linspace(0.05, 0.45, 100), [0.99] * 20])
+    y = np.array([1.0] * 100 + [0.0] * 20)
+    m = secrets.CharCNN()
+    monkeypatch.setattr(m, "logits", lambda x: np.zeros(len(x)))
+    monkeypatch.setattr(m, "scores", lambda x: p)
+    m.calibrate(np.zeros((120, secrets.WIDTH), np.uint8), y, np.ones(120, int), 0.95)
+    assert (p[:100] >= m.thresholds[1]).mean() >= 0.95
+    assert abs(m.precision[1] - 95 / 115) < 0.02
+
+
 def test_machine_learns_pairs():
     r = np.random.default_rng(6)
     docs, y = [], []
