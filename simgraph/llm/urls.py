@@ -12,6 +12,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -89,14 +91,21 @@ def lexical(df: DataFrame) -> DataFrame:
     )
 
 
-def judge(df: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", sample_rows: int = 20_000, trees: int = 20, depth: int = 3) -> DataFrame:
+def suffix_stats(rows: DataFrame) -> DataFrame:
+    """``(suffix, n, labelled, blocked)`` over all ``rows`` (suffix, label); ``label`` is null where no rule decides."""
+    return rows.groupBy("suffix").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("blocked"))
+
+
+def judge(df: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", sample_rows: int = 20_000, trees: int = 20, depth: int = 3, most_suffixes: int = 200_000) -> DataFrame:
     """``(id, host, path, rule, verdict, score)`` for every row.
 
-    URLs that a rule decides are the labelled ones. The trees and the suffix statistics are fitted on at
-    most ``sample_rows`` of them, those of the least hash, so that the choice follows neither size nor
+    URLs that a rule decides are the labelled ones. Suffixes are counted over all rows. The trees are fitted on at
+    most ``sample_rows`` of the labelled, those of the least hash, so that the choice follows neither size nor
     order; ``score`` is the trees' probability of ``block`` and decides where no rule fits. If no or
     only one verdict is labelled there is nothing to learn: the score is then that share of ``block``, or 0.
 
+    Suffixes are broadcast where they are ``most_suffixes`` at most, and joined by a shuffle beyond.
+
     A null URL, or one without ``://``, has an empty host and path and is judged by its features. Null
     ids stay, repeated rows give repeated rows, an empty table an empty one, and further columns of
     ``df`` are not read.
@@ -105,19 +114,22 @@ def judge(df: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: st
     rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     rows = lexical(rows.withColumn("rule", rule_for(rules, F.col("host"), F.col("path"))))
     block = (F.col("rule.verdict") == "block").cast("double")
-    sample = rows.filter("rule is not null").withColumn("label", block)
+    rows = rows.withColumn("label", block)
+    counts = materialize(suffix_stats(rows))
+    n_suffixes, all_labelled, all_blocked = counts.agg(F.count("*"), F.coalesce(F.sum("labelled"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0.0))).first()
+    rate = F.when(F.col("labelled") > 0, (F.col("blocked") + 1) / (F.col("labelled") + 2)).otherwise((all_blocked + 1) / (all_labelled + 2))
+    stats = counts.select("suffix", F.log1p("n").alias("suffix_seen"), rate.alias("suffix_blocked"))
+    stats = F.broadcast(stats) if n_suffixes <= most_suffixes else stats
+    sample = rows.filter("rule is not null")
     sample = sample.orderBy(F.xxhash64("url"), "id", "url").limit(sample_rows).persist()
     try:
         n, n_block = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
-        stats = sample.groupBy("suffix").agg(F.log1p(F.count("*")).alias("suffix_seen"), ((F.sum("label") + 1) / (F.count("*") + 2)).alias("suffix_blocked"))
-        fill = {"suffix_seen": 0.0, "suffix_blocked": (n_block + 1) / (n + 2)}
-        # at most sample_rows suffixes
-        whole = lambda d: VectorAssembler(inputCols=FEATURES, outputCol="features").transform(d.join(F.broadcast(stats), "suffix", "left").fillna(fill))
+        whole = lambda d: VectorAssembler(inputCols=FEATURES, outputCol="features").transform(d.join(stats, "suffix", "left"))
         if 0 < n_block < n:
             model = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=64, seed=1).fit(whole(sample).select("features", "label"))
             from pyspark.ml.functions import vector_to_array
 
-            scored = model.transform(whole(rows)).withColumn("score", vector_to_array("probability")[1])
+            scored = model.transform(whole(rows.drop("label"))).withColumn("score", vector_to_array("probability")[1])
         else:
             scored = rows.withColumn("score", F.lit(n_block / n if n else 0.0))
     finally:

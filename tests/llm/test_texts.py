@@ -360,3 +360,19 @@ def test_urls(spark):
     assert {x.verdict for x in urls.judge(df.limit(1), []).collect()} == {"allow"}
 
 
+
+
+def test_url_suffixes_count_every_row(spark, monkeypatch):
+    from simgraph.llm.queries import URL_RULES
+
+    kept = []
+    whole = urls.VectorAssembler.transform
+    monkeypatch.setattr(urls.VectorAssembler, "transform", lambda self, d, *a: kept.append(d) or whole(self, d, *a))
+    pages = [f"http://a.example.{s}/{p}/{i}" for i in range(30) for s, p in (("org", "es"), ("org", "fr"), ("com", "de"), ("net", "x"))]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, url string")
+    for most in (200_000, 0):
+        kept.clear()
+        assert urls.judge(df, URL_RULES, sample_rows=20, trees=2, most_suffixes=most).count() == len(pages)
+        got = {r.suffix: r for r in kept[-1].select("suffix", "suffix_seen", "suffix_blocked").distinct().collect()}
+        for suffix, n, rate in (("org", 60, 31 / 62), ("com", 30, 31 / 32), ("net", 30, 61 / 92)):
+            assert abs(got[suffix].suffix_seen - math.log1p(n)) < 1e-9 and abs(got[suffix].suffix_blocked - rate) < 1e-9
