@@ -89,18 +89,25 @@ def _paired(docs: list[np.ndarray], y: np.ndarray, least: int, chance: float = 0
         hit = y == want
         r = rates[ids] if want else 1 - rates[ids]
         for i in range(0, len(ids), 512):
-            k, m = (np.zeros((min(512, len(ids) - i), len(ids)), np.float32) for _ in "km")
+            k = np.zeros((min(512, len(ids) - i), len(ids) - i), np.float32)
             for j in range(0, len(docs), 1000):
-                c, z = x[j : j + 1000].astype(np.float32), hit[j : j + 1000]
-                k += c[z, i : i + 512].T @ c[z]
-                m += c[~z, i : i + 512].T @ c[~z]
-            m += k
-            base = np.clip(np.maximum(np.maximum(r[i : i + 512, None], r[None]), share), 1e-6, 1 - 1e-6)
+                c = x[j : j + 1000][hit[j : j + 1000], i:].astype(np.float32)
+                k += c[:, :512].T @ c
+            base = np.clip(np.maximum(np.maximum(r[i : i + 512, None], r[None, i:]), share), 1e-6, 1 - 1e-6)
+            able = -2 * k * np.log(base) >= g  # with no document of the other label
+            at, to = np.flatnonzero(able.any(1)), np.flatnonzero(able.any(0))
+            if not len(at):
+                continue
+            k, base = k[np.ix_(at, to)], base[np.ix_(at, to)]
+            m = k.copy()
+            for j in range(0, len(docs), 1000):
+                c = x[j : j + 1000][~hit[j : j + 1000], i:]
+                m += c[:, at].astype(np.float32).T @ c[:, to].astype(np.float32)
             q = np.divide(k, m, out=np.zeros_like(k), where=m > 0)
             with np.errstate(divide="ignore", invalid="ignore"):
                 ratio = 2 * (np.where(k > 0, k * np.log(q / base), 0) + np.where(m > k, (m - k) * np.log((1 - q) / (1 - base)), 0))
             a, b = np.nonzero((q > base) & (m >= least) & (ratio >= g))
-            passed[ids[a + i]] = passed[ids[b]] = True
+            passed[ids[i + at[a]]] = passed[ids[i + to[b]]] = True
     return np.flatnonzero(passed)
 
 
