@@ -1,65 +1,133 @@
-"""Connected components over an edge table by alternating star contractions."""
+"""Connected components over an edge table: contraction inside partitions, then alternating stars."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import materialize, release
+from ..session import Scratch
 
+#: A vertex with more than this share of all neighbours is a hub; there are at most 1 / HUB of them.
+HUB = 1e-3
+#: Edges that one step inside a partition holds.
+CHUNK = 1 << 20
 
-def _large_star(e: DataFrame) -> DataFrame:
+
+def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least of 0..n-1 that each is connected with by the edges ``a``-``b``."""
+    lab = np.arange(n)
+    while True:
+        low = np.minimum(lab[a], lab[b])
+        new = lab.copy()
+        np.minimum.at(new, lab[a], low)
+        np.minimum.at(new, lab[b], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == lab).all():
+            return lab
+        lab = new
+
+
+def _contracted(e: DataFrame) -> DataFrame:
+    """Stars that connect what the edges of each chunk of a partition connect; every vertex stays known.
+
+    Needs no shuffle. Vertices of other types than whole numbers and strings are left as they are.
+    """
+    kind = e.schema["u"].dataType
+    if not isinstance(kind, (T.IntegralType, T.StringType)):
+        return e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+
+    def star(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts)
+        m = t.num_rows
+        both = pa.concat_arrays([c for x in ("u", "v") for c in t[x].chunks])
+        if isinstance(kind, T.StringType):
+            at, ids = pd.factorize(both.to_numpy(zero_copy_only=False), sort=True)
+        else:
+            ids, at = np.unique(both.to_numpy(), return_inverse=True)
+        lab = roots(at[:m], at[m:], len(ids))
+        alone = np.bincount(lab, minlength=len(ids)) == 1
+        use = np.flatnonzero((lab != np.arange(len(ids))) | alone)
+        return pa.RecordBatch.from_arrays([pa.array(ids[use], both.type), pa.array(ids[lab[use]], both.type)], ["u", "v"])
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
+            if n >= CHUNK:
+                yield star(held)
+                held, n = [], 0
+        if held:
+            yield star(held)
+
+    return e.select("u", "v").mapInArrow(run, f"u {kind.simpleString()}, v {kind.simpleString()}")
+
+
+def _hung(rows: DataFrame, low: DataFrame, total: int) -> DataFrame:
+    """``rows`` (u, v) with the least neighbour m of u from ``low`` (u, m, n).
+
+    Rows of hubs would meet in one task; hubs are few, as the neighbours of all vertices add up to ``total``, and are
+    broadcast. All other rows meet by a sorted join.
+    """
+    hubs = F.broadcast(low.filter(F.col("n") > HUB * total).select("u", "m"))
+    rest = low.filter(F.col("n") <= HUB * total).select("u", "m").hint("merge")
+    return rows.join(hubs, "u").unionByName(rows.join(hubs.select("u"), "u", "left_anti").join(rest, "u"))
+
+
+def _low(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+
+
+def _large_star(e: DataFrame, total: int) -> DataFrame:
     """Every neighbour above a vertex is hung on the least vertex of the neighbourhood."""
     both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
-    up = both.filter("v > u")
-    return up.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    up = _hung(both.filter("v > u"), _low(both), 2 * total)
+    return up.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, total: int) -> DataFrame:
     """Every neighbour below a vertex, and the vertex itself, is hung on the least of them."""
-    down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    hung = down.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return hung.union(low.select("u", F.col("m").alias("v"))).distinct()
-
-
-def _state(e: DataFrame) -> tuple:
-    r = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return r[0], r[1]
+    low = _low(e)
+    hung = _hung(e, low, total).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return hung.union(low.select("u", F.col("m").alias("v")))
 
 
 def _is_star(e: DataFrame) -> bool:
-    """Whether every vertex that hangs on another does so once, on one that hangs on none."""
-    hung = e.groupBy("u").agg(F.count("*").alias("n"))
-    marks = hung.select(F.col("u").alias("x"), (F.col("n") > 1).alias("bad"), F.lit(True).alias("low"), F.lit(False).alias("top"))
-    marks = marks.union(e.select("v").distinct().select("v", F.lit(False), F.lit(False), F.lit(True)))
-    per = marks.groupBy("x").agg((F.max("bad") | (F.max("low") & F.max("top"))).alias("bad"))
+    """Whether every vertex that hangs on another does so on one only, which hangs on none."""
+    none = F.lit(None).cast(e.schema["v"].dataType)
+    marks = e.select(F.col("u").alias("x"), F.col("v").alias("y"), F.lit(False).alias("top"))
+    marks = marks.union(e.select(F.col("v"), none, F.lit(True)))
+    per = marks.groupBy("x").agg((F.coalesce(F.min("y") != F.max("y"), F.lit(False)) | (F.max("top") & (F.count("y") > 0))).alias("bad"))
     return per.filter("bad").isEmpty()
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """``(vertex, component)`` for every vertex of ``edges``; a component is its least vertex.
 
-    Large-star and small-star steps alternate until the edges stop changing: O(log^2 n) rounds, each a
-    partial aggregation plus one equi-join whose hot keys adaptive execution can split. Self loops and
-    null ends are ignored, except that a self loop makes its vertex known. Each round is written to the
-    shared folder, so lost executors cost no earlier round. Raises if ``max_rounds`` do not suffice.
+    Edges are first contracted inside their partitions. What then is no star yet goes through large-star and
+    small-star steps until it is: O(log^2 n) rounds, each two partial aggregations and two joins by vertex in
+    which hubs are broadcast, so that no vertex fills a task. Each round is written to the shared folder, so
+    lost executors cost no earlier round, and deleted when the next one is there. Self loops and null ends are
+    ignored, except that a self loop makes its vertex known. Raises if ``max_rounds`` do not suffice.
     """
-    e0 = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u is not null and v is not null")
-    e0 = materialize(e0.distinct())
-    cur, state = e0.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), None
-    held = None
-    for turn in range(0 if _is_star(cur) else max_rounds):
-        nxt = materialize(_small_star(_large_star(cur)))
-        now = _state(nxt)
-        if held is not None:
-            release(held)
-        cur = held = nxt
-        if now == state:
-            break
-        state = now
-        if turn == max_rounds - 1:
-            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    known = e0.select("u").union(e0.select(F.col("v").alias("u"))).distinct()
-    return known.join(cur.select("u", F.col("v").alias("m")), "u", "left").select(F.col("u").alias("vertex"), F.coalesce("m", "u").alias("component"))
+    e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u is not null and v is not null")
+    with Scratch() as s:
+        first = s.table(_contracted(e))
+        cur = first.filter("u <> v")
+        for turn in range(max_rounds + 1):
+            if _is_star(cur):
+                break
+            if turn == max_rounds:
+                raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+            last = cur
+            star = s.table(_large_star(last, last.count()))
+            cur = s.table(_contracted(_small_star(star, star.count()))).filter("u <> v")
+            s.drop(star)
+        rows = first.select("u").union(first.select("v")).select("u", F.col("u").alias("v")).union(cur.select("u", "v"))
+        return s.result(rows.groupBy(F.col("u").alias("vertex")).agg(F.min("v").alias("component")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -43,23 +45,81 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/simgraph/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+_ENDINGS: set[str] = set()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     The copy has no lineage, survives lost executors and is compressed, which RDD checkpoints are not.
+    What nobody releases is deleted when the application's Python ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/simgraph/{uuid.uuid4().hex}"
+    root = _scratch_root(spark)
+    path = f"{root}/{uuid.uuid4().hex}"
+    if root not in _ENDINGS:
+        _ENDINGS.add(root)
+        atexit.register(cleanup, spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._simgraph_path = path
     return out
 
 
-def release(df: DataFrame) -> None:
+def release(df: DataFrame | None) -> None:
     """Delete what ``materialize`` wrote for ``df``; nothing may read it afterwards."""
     path = getattr(df, "_simgraph_path", None)
     if path:
-        jvm, jsc = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete every table this application has materialized and not released."""
+    with contextlib.suppress(Exception):  # the session may be gone, and its folder with it
+        _delete(spark, _scratch_root(spark))
+
+
+class Scratch:
+    """Tables of one run of an operator: deleted when the block ends, but for its results.
+
+    ``table`` cuts lineage, ``result`` does so for what leaves the block, so that nothing read later hangs
+    on a deleted table.
+    """
+
+    def __init__(self) -> None:
+        self._tables: list[DataFrame] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def table(self, df: DataFrame) -> DataFrame:
+        out = materialize(df)
+        self._tables.append(out)
+        return out
+
+    def adopt(self, df: DataFrame) -> DataFrame:
+        """A table that another operator has materialized for this one."""
+        self._tables.append(df)
+        return df
+
+    def drop(self, df: DataFrame) -> None:
+        """Delete one of the tables before the end."""
+        self._tables = [t for t in self._tables if t is not df]
+        release(df)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        return materialize(df)
+
+    def __exit__(self, *_) -> None:
+        for t in self._tables:
+            release(t)
+        self._tables = []
