@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hash import band_keys, hamming, to_long
 from ..session import materialize
 from .graph import connected_components
+from .skew import ranks
 
 
 def exact_groups(assets: DataFrame, id_col: str = "asset_id", hash_col: str = "sha256") -> DataFrame:
@@ -24,19 +25,6 @@ def exact_groups(assets: DataFrame, id_col: str = "asset_id", hash_col: str = "s
     return a.join(ranked.filter("n > 1"), hash_col).select(id_col, "group_id", hash_col)
 
 
-def ranks(keys: DataFrame, col: str, out: str) -> DataFrame:
-    """``keys`` with the 0-based place of each distinct value of ``col``, without a single-task window.
-
-    Range partitions are counted and numbered; rows then add what lies before their partition.
-    """
-    spread = keys.repartitionByRange(F.col(col)).withColumn("_part", F.spark_partition_id())
-    spread = materialize(spread)
-    before = spread.groupBy("_part").count().withColumn("_before", F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(col)) - 1
-    # one row a partition
-    return spread.withColumn(out, inside).join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(out, (F.col(out) + F.coalesce("_before", F.lit(0))).cast("long")).drop("_part", "_before")
-
-
 def unresolved(assets: DataFrame, *resolved: DataFrame, id_col: str = "asset_id") -> DataFrame:
     """Assets that no earlier tier has settled; the same anti join skips work whose output exists."""
     done = resolved[0].select(id_col)

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import Scratch
+from .skew import lookup
 
-#: A vertex with more than this share of all neighbours is a hub; there are at most 1 / HUB of them.
-HUB = 1e-3
 #: Edges that one step inside a partition holds.
 CHUNK = 1 << 20
 
@@ -70,14 +69,8 @@ def _contracted(e: DataFrame) -> DataFrame:
 
 
 def _hung(rows: DataFrame, low: DataFrame, total: int) -> DataFrame:
-    """``rows`` (u, v) with the least neighbour m of u from ``low`` (u, m, n).
-
-    Rows of hubs would meet in one task; hubs are few, as the neighbours of all vertices add up to ``total``, and are
-    broadcast. All other rows meet by a sorted join.
-    """
-    hubs = F.broadcast(low.filter(F.col("n") > HUB * total).select("u", "m"))
-    rest = low.filter(F.col("n") <= HUB * total).select("u", "m").hint("merge")
-    return rows.join(hubs, "u").unionByName(rows.join(hubs.select("u"), "u", "left_anti").join(rest, "u"))
+    """``rows`` (u, v) with the least neighbour m of u; rows of hubs would otherwise meet in one task."""
+    return lookup(rows, low, ["u"], "n", total)
 
 
 def _low(rows: DataFrame) -> DataFrame:
