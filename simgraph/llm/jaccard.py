@@ -3,12 +3,16 @@
 Each set of word n-grams samples tokens: a token is chosen if its hash lies below ``runs / (LAMBDA * size)``,
 so one run gives 1/LAMBDA tokens a set in the mean and two sets of similarity LAMBDA or more share a chosen
 one with probability 1 - 1/e at least. Runs repeat until the probability that a pair is missed in all of them is
-below 1 - recall; as all runs share one hash, they are drawn at once. Sets that chose the same token
-form a bucket. Small buckets are compared by brute force on their sketches. Large ones are split again on
-tokens of the sketches; what is still large then is compared tile by tile, so nothing is left out.
-
-Pairs that look similar link their documents into groups; each group meets once more with its whole n-gram
-sets, where every pair is verified exactly. Equal sets are one class from the start and never expanded.
+below 1 - recall; as all runs share one hash, they are drawn at once. Sets that chose the same token form
+a bucket. A bucket larger than ``SMALL`` is split on tokens sampled again, those that gave the places of the sketches
+of its members, and so on until all are small; each time more tokens are sampled, so that all splits together lose a
+bounded share of pairs, which the number of runs makes up for. A bucket that splitting does not shrink is a mass of
+near copies and is compared tile by tile. Buckets and tiles are compared by brute force on their sketches.
+
+Where the similar pairs of a bucket are few, each is kept; where they are many, their members are a group. Pairs and
+groups are then verified with the whole n-gram sets: groups tile by tile, all their pairs counted once, other
+pairs one by one, unless all that links reach is small enough to meet at once. Equal sets are one class from the start
+and never expanded.
 """
 
 from __future__ import annotations
@@ -20,16 +24,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import connected_components
-from ..session import materialize
+from ..operators.graph import connected_components, roots
+from ..operators.skew import lookup, ranks
+from ..session import Scratch, materialize
 from ._words import U, buffers, grams, mix, slices, words
 
 LAMBDA = 0.8
 SKETCH = 128
-#: Members of a bucket or group that one kernel compares at once.
-SMALL, TILE = 2048, 256
-#: Tokens that a set samples in the mean where a large bucket is split.
+#: Members of a bucket, and of a tile of a group, that one kernel compares at once; n-grams of a tile.
+SMALL, TILE, TILE_GRAMS = 1024, 256, 1 << 21
+#: Tokens that a set samples in the mean where a large bucket is split for the first time; one more each time after.
 SPLIT = 3.0
+#: Pairs a member from which what is similar in a bucket counts as one group.
+DENSE = 4
+#: Rows of at most some 50 bytes that may be broadcast.
+BROADCAST_ROWS = 1 << 18
 
 
 def gram_sets(texts: pa.Array, k: int):
@@ -95,17 +104,6 @@ def _loose(n: np.ndarray, similarity: float) -> np.ndarray:
     return np.maximum(0.05, similarity - 4 * np.sqrt(similarity * (1 - similarity) / np.maximum(m, 1)))
 
 
-def _roots(a: np.ndarray) -> np.ndarray:
-    """Least index that each index of a symmetric boolean matrix is connected with."""
-    lab = np.arange(len(a))
-    while True:
-        low = np.minimum(lab, np.where(a, lab[None, :], len(a)).min(1))
-        low = low[low]
-        if (low == lab).all():
-            return lab
-        lab = low
-
-
 def _similar(s: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
     out = np.zeros((len(s), len(s)), bool)
     lo = _loose(n, similarity)
@@ -116,7 +114,21 @@ def _similar(s: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
     return out
 
 
-def _grouped(batches, column: int):
+def pairs_and_groups(ok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(i, j, dense)`` from a symmetric matrix of similar pairs: single pairs, or the stars of what is dense."""
+    n = len(ok)
+    i, j = np.nonzero(np.triu(ok, 1))
+    if not len(i):
+        return i, j, np.zeros(0, bool)
+    root = roots(i, j, n)
+    dense = np.bincount(root[i], minlength=n) > DENSE * np.bincount(root, minlength=n)
+    single = ~dense[root[i]]
+    hung = np.flatnonzero(dense[root] & (root != np.arange(n)))
+    kind = np.repeat([False, True], [int(single.sum()), len(hung)])
+    return np.concatenate([i[single], hung]), np.concatenate([j[single], root[hung]]), kind
+
+
+def grouped(batches, column: int):
     """Whole runs of equal values of a column of 64-bit integers, many runs at a time."""
     held: list[pa.RecordBatch] = []
     for b in batches:
@@ -124,10 +136,9 @@ def _grouped(batches, column: int):
             continue
         k = b.column(column).to_numpy()
         last = int(np.flatnonzero(k != k[-1])[-1]) + 1 if (k != k[-1]).any() else 0
-        if held and (last or held[-1].column(column)[-1].as_py() != k[0]):
-            if held[-1].column(column)[-1].as_py() != k[0]:
-                yield pa.Table.from_batches(held)
-                held = []
+        if held and held[-1].column(column)[-1].as_py() != k[0]:
+            yield pa.Table.from_batches(held)
+            held = []
         if last:
             yield pa.Table.from_batches([*held, b.slice(0, last)])
             held = []
@@ -136,10 +147,30 @@ def _grouped(batches, column: int):
         yield pa.Table.from_batches(held)
 
 
+def runs(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places and ends of the runs of equal values."""
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    return first, np.append(first, len(k))[1:]
+
+
 def _bytes2d(col: pa.ChunkedArray, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, width)
 
 
+def _digests(g: np.ndarray, row: np.ndarray, n: int) -> list[np.ndarray]:
+    """Two 64-bit sums of a set's members."""
+    total = [np.zeros(n, U), np.zeros(n, U)]
+    with np.errstate(over="ignore"):
+        for t, seed in zip(total, (3, 4), strict=True):
+            np.add.at(t, row, mix(g, seed))
+    return total
+
+
+def _kept(splits: int = 40) -> float:
+    """Share of the pairs in a bucket that any number of splits keeps, at similarity LAMBDA."""
+    return math.prod(1 - math.exp(-LAMBDA * (SPLIT + d)) for d in range(splits))
+
+
 def similar_groups(df: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, class_id, n_links, copy_of)`` for every document.
 
@@ -148,28 +179,77 @@ def similar_groups(df: DataFrame, n: int = 5, similarity: float = 0.8, recall: f
     included; ``copy_of`` is the least id with an equal set; ``class_id`` the least id that links reach.
 
     A text of fewer than n words has one member, all its words; one without words, or null, has an empty set
-    and links with nothing. Rows that repeat an id and a set count once and each get the document's result; rows
-    without id are given back alone, with null class and no links. An empty table gives an empty one; further
-    columns are not read. A pair of different sets stays unlinked with probability 1 - ``recall`` at most, and
-    only where no chain of links joins it.
+    and links with nothing. Texts of any length are read whole. Rows that repeat an id and a set count once and each get the
+    document's result; an id with several sets gets the least class of them and the sum of their links; rows
+    without id are given back alone, with null class and no links. An empty table gives an empty one; further columns are not
+    read, whatever their names. A pair of different sets stays unlinked with probability 1 - ``recall`` at
+    most, and only where no chain of links joins it.
     """
-    spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    # a shared bucket that is split keeps a pair together with this probability
-    kept = 1 - math.exp(-similarity * SPLIT)
-    runs = math.ceil(math.log(1 / (1 - recall)) / kept)
-    rate = runs / LAMBDA
+    with Scratch() as s:
+        sets, classes = _classes(s, rows, n, similarity, recall)
+        member = sets.select("id", *KEY).distinct()
+        per = lookup(member.filter("n > 0"), classes, KEY, "members", sets.count())
+        per = per.groupBy("id").agg(F.min("class_id").alias("class_id"), F.sum("n_links").alias("n_links"), F.min("rep").alias("copy_of"))
+        known = sets.select("id").join(per, "id", "left")
+        out = known.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copy_of", "id").alias("copy_of"))
+        none = rows.filter("id is null").select("id", F.lit(None).cast("long"), F.lit(0).cast("long"), F.lit(None).cast("long"))
+        return s.result(out.union(none))
+
+
+def keep_one(df: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with one row of each class of ``similar_groups``, all columns as they are.
+
+    Rows are judged, not ids: what stays of a class is a row of its set of least id, and of rows that repeat that id and
+    set one; rows of one id but unlike sets are judged apart. Rows without id and rows without words all
+    stay. An empty table gives an empty one; texts of any length are read whole.
+    """
+    names = df.columns
+    at = names.index(text_col)
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    with Scratch() as s:
+        sets, classes = _classes(s, rows, n, similarity, recall)
+        count = sets.filter("n > 0").groupBy("id", *KEY).agg(F.count("*").alias("times"))
+        lead = classes.filter("lead").select(F.col("rep").alias("id"), *KEY, F.lit(True).alias("lead"))
+        judged = count.join(lead, ["id", *KEY], "left")
+        odd = judged.filter("lead is null or times > 1").select("id", *KEY, F.col("lead").isNotNull().alias("lead"))
+        odd = materialize(odd)
+    few = odd.count() <= BROADCAST_ROWS
+    key = [f"_{c}" for c in ("id", *KEY)]
+    odd = odd.toDF(*key, "_lead")
+
+    def sign(batches):
+        for b in batches:
+            for i, j, g, firsts in gram_sets(b.column(at).cast(pa.string()), n):
+                size = np.diff(firsts)
+                d = _digests(g, np.repeat(np.arange(j - i), size), j - i)
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in b.columns), pa.array(size.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in d)], [*names, *key[1:]])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    signed = df.mapInArrow(sign, f"{kinds}, {', '.join(f'{k} long' for k in key[1:])}").withColumn("_id", F.col(id_col).cast("long"))
+    known = signed.join(F.broadcast(odd) if few else odd, key, "left")
+    once = known.filter(F.col("_lead").isNull())
+    # a row that comes several times and leads its class
+    first = known.filter("_lead").dropDuplicates(key)
+    return once.unionByName(first).select(*[F.col(f"`{c}`") for c in names])
+
+
+KEY = ["n", "d1", "d2"]
+
+
+def _classes(s: Scratch, rows: DataFrame, n: int, similarity: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """The sets of all rows with an id (id, *KEY), and their classes.
+
+    A class is one distinct set: (*KEY, rep: least id, members: ids, class_id: least id that links reach, n_links, lead:
+    whether it is the first of its component).
+    """
+    rate = math.ceil(math.log(1 / (1 - recall)) / _kept()) / LAMBDA
 
     def signatures(batches):
         for b in batches:
             for i, j, g, firsts in gram_sets(b.column(1), n):
                 size = np.diff(firsts)
                 row = np.repeat(np.arange(j - i), size)
-                s = _sketches(g, firsts)
-                with np.errstate(over="ignore"):
-                    total = [np.zeros(len(size), U), np.zeros(len(size), U)]
-                    for t, seed in zip(total, (3, 4), strict=True):
-                        np.add.at(t, row, mix(g, seed))
                 u = mix(g, 5).astype(np.float64) / 2.0**64
                 chosen = u < rate / np.maximum(size, 1)[row]
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row[chosen], minlength=j - i))])
@@ -177,82 +257,97 @@ def similar_groups(df: DataFrame, n: int = 5, similarity: float = 0.8, recall: f
                     [
                         b.column(0).slice(i, j - i),
                         pa.array(size.astype(np.int64)),
-                        *(pa.array(t.view(np.int64)) for t in total),
-                        pa.array([x.tobytes() for x in s], pa.binary()),
+                        *(pa.array(t.view(np.int64)) for t in _digests(g, row, j - i)),
+                        pa.array([x.tobytes() for x in _sketches(g, firsts)], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(g[chosen].view(np.int64))),
                     ],
-                    ["id", "n", "d1", "d2", "sketch", "tokens"],
+                    ["id", *KEY, "sketch", "tokens"],
                 )
 
-    sig = materialize(rows.filter("id is not null").mapInArrow(signatures, "id long, n long, d1 long, d2 long, sketch binary, tokens array<long>"))
-    classes = sig.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("members"))
-    member = materialize(sig.filter("n > 0").select("id", "n", "d1", "d2").distinct().join(classes, ["n", "d1", "d2"]).select("id", "rep", "n", "d1", "d2", "members"))
-    reps = sig.join(member.filter("id = rep"), ["id", "n", "d1", "d2"], "left_semi").dropDuplicates(["id", "n", "d1", "d2"])
-    reps = materialize(reps.select("id", "n", "sketch", "tokens"))
-
-    picked = reps.select("id", F.explode("tokens").alias("bucket"))
-    loose = _bucket_edges(picked, reps, similarity)
-    groups = connected_components(loose, "a", "b").filter("component is not null")
-    exact = _verify(rows, groups, member, n, similarity)
-    links = exact.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("weight").alias("linked"))
-    comps = connected_components(exact.filter("b is not null"), "a", "b").withColumnsRenamed({"vertex": "rep", "component": "class_id"})
-    # one row a document; an id with several sets belongs to the least class of them
-    per = member.join(links, "rep", "left").join(comps, "rep", "left")
-    per = per.groupBy("id").agg(
-        F.min(F.coalesce("class_id", "rep")).alias("class_id"),
-        F.sum(F.col("members") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"),
-        F.min("rep").alias("copy_of"),
-    )
-    out = rows.select("id").join(per, "id", "left")
-    return out.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copy_of", "id").alias("copy_of"))
-
-
-def _bucket_edges(picked: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
-    """``(a, b)`` stars of representatives whose sketches agree in a bucket they chose together."""
+    sets = s.table(rows.filter("id is not null").mapInArrow(signatures, "id long, n long, d1 long, d2 long, sketch binary, tokens array<long>"))
+    found = sets.filter("n > 0").groupBy(*KEY).agg(F.min("id").alias("rep"), F.count_distinct("id").alias("members"))
+    # classes are numbered by least id, so that the least number of a component has its least id
+    found = s.adopt(ranks(found, ["rep", "d1", "d2", "n"], "c"))
+    lead = found.select("c", F.col("rep").alias("id"), *KEY)
+    reps = sets.join(lead, ["id", *KEY]).dropDuplicates(["c"]).select("c", "n", "sketch", "tokens")
+    reps = s.table(reps)
+    edges = _edges(s, reps, similarity)
+    exact = _verify(s, rows, edges, found, n, similarity)
+    links = exact.filter("b is null").groupBy(F.col("a").alias("c")).agg(F.sum("weight").alias("linked"))
+    comps = s.adopt(connected_components(exact.filter("b is not null"), "a", "b")).withColumnsRenamed({"vertex": "c", "component": "root"})
+    out = found.join(links, "c", "left").join(comps, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    out = out.join(found.select(F.col("c").alias("root"), F.col("rep").alias("class_id")), "root")
+    out = out.select(*KEY, "rep", "members", "class_id", (F.col("members") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), (F.col("root") == F.col("c")).alias("lead"))
+    return sets, s.table(out)
+
+
+def _edges(s: Scratch, reps: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b, dense)``: pairs whose sketches agree in a bucket they chose together, or stars of groups of such."""
+    schema = "a long, b long, dense boolean"
 
     def compare(batches):
-        for t in _grouped(batches, 0):
+        for t in grouped(batches, 0):
             yield from _brute(t, similarity)
 
-    def split(batches):
-        """Rows of a large bucket go to buckets of tokens of their sketches."""
-        for b in batches:
-            s = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, SKETCH)
-            k = b.column(0).to_numpy()
-            with np.errstate(over="ignore"):
-                token = mix(k.view(U)[:, None] * U(0x9E3779B97F4A7C15) + s.astype(U) * U(SKETCH) + np.arange(SKETCH, dtype=U), 6)
-            r, c = np.nonzero(mix(token, 7).astype(np.float64) / 2.0**64 < SPLIT / SKETCH)
-            yield pa.RecordBatch.from_arrays([pa.array(token[r, c].view(np.int64)), *(b.column(x).take(pa.array(r)) for x in (1, 2, 3))], ["bucket", "id", "n", "sketch"])
-
-    def shared(rows: DataFrame):
-        size = rows.groupBy("bucket").count().filter("count > 1")
-        return materialize(rows.join(size, "bucket"))
-
-    first = shared(picked)
-    schema = "a long, b long"
-    whole = first.join(reps.select("id", "n", "sketch"), "id").select("bucket", "id", "n", "sketch", "count")
-    few = whole.filter(F.col("count") <= SMALL).select("bucket", "id", "n", "sketch").repartition("bucket").sortWithinPartitions("bucket")
-    edges = few.mapInArrow(compare, schema)
-    many = whole.filter(F.col("count") > SMALL).select("bucket", "id", "n", "sketch")
-    second = shared(many.mapInArrow(split, "bucket long, id long, n long, sketch binary").distinct())
-    few = second.filter(F.col("count") <= SMALL).select("bucket", "id", "n", "sketch").repartition("bucket").sortWithinPartitions("bucket")
-    edges = edges.union(few.mapInArrow(compare, schema))
-    tiles = F.ceil(F.col("count") / (SMALL // 2)).cast("int")
-    rest = second.filter(F.col("count") > SMALL).withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rest = rest.select(F.xxhash64("bucket", F.least("tile", "other"), F.greatest("tile", "other")).alias("bucket"), "id", "n", "sketch")
-    edges = edges.union(rest.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare, schema))
-    return edges.distinct()
+    def splitter(tokens: float, depth: int):
+        def split(batches):
+            """Rows of a large bucket go to buckets of tokens that their sketches sample."""
+            for b in batches:
+                k = b.column(0).to_numpy()
+                with np.errstate(over="ignore"):
+                    place = _bytes2d(b.column(3), SKETCH).astype(U) * U(SKETCH) + np.arange(SKETCH, dtype=U)
+                    token = mix(k.view(U)[:, None] * U(0x9E3779B97F4A7C15) + place, 6 + 2 * depth)
+                r, c = np.nonzero(mix(token, 7 + 2 * depth).astype(np.float64) / 2.0**64 < tokens / SKETCH)
+                yield pa.RecordBatch.from_arrays([pa.array(token[r, c].view(np.int64)), *(b.column(x).take(pa.array(r)) for x in (1, 2, 3, 4))], ["bucket", "c", "n", "sketch", "above"])
+
+        return split
+
+    def met(rows: DataFrame, total: int) -> DataFrame:
+        """Rows whose bucket has two of them at least, with the number of its rows."""
+        size = rows.groupBy("bucket").agg(F.count("*").alias("count")).filter("count > 1")
+        return lookup(rows, size.withColumn("weight", F.col("count")), ["bucket"], "weight", total)
+
+    def meet(rows: DataFrame) -> DataFrame:
+        return rows.select("bucket", "c", "n", "sketch").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare, schema)
+
+    picked = s.table(reps.select("c", F.explode("tokens").alias("bucket")))
+    cur = s.table(met(picked, picked.count()).join(reps.select("c", "n", "sketch"), "c").select("bucket", "c", "n", "sketch", "count", F.lit(1 << 62).alias("above")))
+    parts, depth = [], 0
+    while True:
+        small = F.col("count") <= SMALL
+        # a bucket that has not halved holds near copies, which no further split parts
+        mass = ~small & (2 * F.col("count") > F.col("above"))
+        tiles = F.ceil(F.col("count") / (SMALL // 2)).cast("int")
+        tiled = cur.filter(mass).withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("c"), F.col("tiles")).cast("int"))
+        tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        tiled = tiled.withColumn("bucket", F.xxhash64("bucket", F.least("tile", "other"), F.greatest("tile", "other")))
+        parts.append(s.table(meet(cur.filter(small).select(*CELL).unionByName(tiled.select(*CELL))).distinct()))
+        large = cur.filter(~small & ~mass)
+        if large.isEmpty():
+            break
+        rows = large.select("bucket", "c", "n", "sketch", F.col("count").alias("above"))
+        rows = s.table(rows.mapInArrow(splitter(SPLIT + depth, depth), "bucket long, c long, n long, sketch binary, above long"))
+        s.drop(cur)
+        cur = s.table(met(rows, rows.count()))
+        s.drop(rows)
+        depth += 1
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out if len(parts) == 1 else s.table(out.distinct())
+
+
+CELL = ["bucket", "c", "n", "sketch"]
 
 
 def _brute(t: pa.Table, similarity: float):
     k = t["bucket"].to_numpy()
-    ids, n = t["id"].to_numpy(), t["n"].to_numpy().astype(float)
+    ids, n = t["c"].to_numpy(), t["n"].to_numpy().astype(float)
     s = _bytes2d(t["sketch"], SKETCH)
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    size = np.diff(np.append(first, len(k)))
+    first, ends = runs(k)
+    size = ends - first
     lo = _loose(n, similarity)
-    a, b = [], []
+    a, b, dense = [], [], []
     # small buckets: all their pairs at once
     for m in range(2, 9):
         at = first[size == m]
@@ -264,81 +359,133 @@ def _brute(t: pa.Table, similarity: float):
                 ok = (np.minimum(n[p], n[q]) >= similarity * np.maximum(n[p], n[q])) & ((s[p] == s[q]).mean(1) >= np.minimum(lo[p], lo[q]))
                 a.append(ids[p[ok]])
                 b.append(ids[q[ok]])
+                dense.append(np.zeros(int(ok.sum()), bool))
     for at, m in zip(first[size > 8], size[size > 8], strict=True):
-        root = _roots(_similar(s[at : at + m], n[at : at + m], similarity))
-        other = np.flatnonzero(root != np.arange(m))
-        a.append(ids[at + other])
-        b.append(ids[at + root[other]])
+        i, j, d = pairs_and_groups(_similar(s[at : at + m], n[at : at + m], similarity))
+        a.append(ids[at + i])
+        b.append(ids[at + j])
+        dense.append(d)
     if a:
-        a, b = np.concatenate(a), np.concatenate(b)
+        a, b, dense = np.concatenate(a), np.concatenate(b), np.concatenate(dense)
         keep = a != b
-        pairs = np.unique(np.stack([np.maximum(a, b)[keep], np.minimum(a, b)[keep]], 1), axis=0)
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        rows = np.unique(np.stack([np.maximum(a, b)[keep], np.minimum(a, b)[keep], dense[keep]], 1), axis=0)
+        if len(rows):
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(bool))], ["a", "b", "dense"])
 
 
-def _verify(rows: DataFrame, groups: DataFrame, member: DataFrame, n: int, similarity: float) -> DataFrame:
-    """Exact links inside groups: ``(a, null, weight)`` adds links, ``(a, b, 0)`` is a star of linked documents.
+def meetings(s: Scratch, edges: DataFrame, weights: DataFrame, tile: int, tile_weight: int) -> DataFrame:
+    """``(c, cell, tile, other)``: where the ends of ``edges`` (a, b, dense) meet for verification.
 
-    A group's members meet once, or tile by tile where they are more than ``TILE``; then each document is sent
-    once for each tile of its group.
+    What edges connect meets in one cell if it is no more than a tile. Of the rest, groups that dense edges connect
+    meet tile by tile, and other pairs each in a cell of its own; a pair inside a group is left to the group. ``weights`` is
+    (c, weight); a tile has ``tile`` members and ``tile_weight`` of weight at most, unless a member alone has more.
     """
-    size = groups.groupBy("component").count()
-    who = groups.join(size, "component").join(member.filter("id = rep").select(F.col("id").alias("vertex"), "n", "d1", "d2", "members"), "vertex")
-    who = materialize(who.select(F.col("vertex").alias("id"), "component", F.col("count").alias("size"), "n", "d1", "d2", "members"))
-    small = who.count() <= 1 << 20
-    texts = rows.join(F.broadcast(who) if small else who, "id")
+
+    def tiled(groups: DataFrame) -> DataFrame:
+        size = groups.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("weight") / tile_weight)).cast("int").alias("tiles"), F.count("*").alias("size"))
+        return lookup(groups, size, ["component"], "size", groups.count())
+
+    comps = s.adopt(connected_components(edges, "a", "b"))
+    every = s.table(tiled(s.table(comps.withColumnRenamed("vertex", "c").join(weights, "c"))))
+    whole = every.filter("tiles = 1").select("c", "component", "tiles")
+    large = every.filter("tiles > 1")
+    if large.isEmpty():
+        groups, pairs = whole, None
+    else:
+        some = s.table(edges.join(large.select(F.col("c").alias("a")), "a"))
+        inner = s.adopt(connected_components(some.filter("dense"), "a", "b"))
+        sized = tiled(s.table(inner.withColumnRenamed("vertex", "c").join(weights, "c")))
+        # a group is not a component of all edges: its number is set apart
+        groups = whole.unionByName(sized.select("c", (-F.col("component") - 1).alias("component"), "tiles"))
+        of = inner.select("vertex", "component")
+        pairs = some.filter("not dense").select("a", "b").distinct()
+        pairs = pairs.join(of.toDF("a", "ga"), "a", "left").join(of.toDF("b", "gb"), "b", "left").filter("ga is null or gb is null or ga <> gb")
+    # the tiles of a group: each member is sent to every pair of tiles that has its own
+    mine = F.pmod(F.xxhash64("c"), F.col("tiles")).cast("int")
+    cells = groups.withColumn("tile", mine).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    cells = cells.select("c", F.xxhash64("component", F.least("tile", "to"), F.greatest("tile", "to")).alias("cell"), "tile", (F.col("tile") == F.col("to")).alias("inner"))
+    if pairs is not None:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("c"), F.xxhash64(F.lit("pair"), "a", "b").alias("cell"), F.lit(0).alias("tile"), F.lit(True).alias("inner"))
+        cells = cells.unionByName(ends)
+    return s.table(cells)
+
+
+def _verify(s: Scratch, rows: DataFrame, edges: DataFrame, found: DataFrame, n: int, similarity: float) -> DataFrame:
+    """Exact links: ``(a, null, weight)`` adds links, ``(a, b, 0)`` connects linked classes."""
+    cells = meetings(s, edges, found.select("c", F.col("n").alias("weight")), TILE, TILE_GRAMS)
+    who = s.table(found.join(cells.select("c").distinct(), "c").select("rep", "c", *KEY, "members"))
+    few = who.count() <= BROADCAST_ROWS
+    texts = rows.join((F.broadcast(who) if few else who).withColumnRenamed("rep", "id"), "id").select("c", "text", *KEY, "members")
 
     def sets(batches):
         for b in batches:
-            size, mine = b.column(3).to_numpy(), b.column(4).to_numpy()
-            d1 = b.column(5).to_numpy()
+            mine, d1, d2 = (b.column(c).to_numpy() for c in (2, 3, 4))
             for i, j, g, firsts in gram_sets(b.column(1), n):
-                out = []
-                for r in range(i, j):
-                    part = g[firsts[r - i] : firsts[r - i + 1]]
-                    with np.errstate(over="ignore"):
-                        same = len(part) == mine[r] and int(mix(part, 3).sum(dtype=U).view(np.int64)) == d1[r]
-                    if not same:
-                        continue
-                    tiles = -(-int(size[r]) // TILE) if size[r] > TILE else 1
-                    out.append((r, part.tobytes(), tiles))
-                if out:
-                    yield pa.RecordBatch.from_arrays(
-                        [*(b.column(c).take(pa.array([r for r, _, _ in out])) for c in (0, 2, 7)), pa.array([p for _, p, _ in out], pa.binary()), pa.array([k for _, _, k in out], pa.int32())],
-                        ["id", "component", "members", "grams", "tiles"],
-                    )
-
-    texts = texts.select("id", "text", "component", "size", "n", "d1", "d2", "members")
-    full = texts.mapInArrow(sets, "id long, component long, members long, grams binary, tiles int")
-    full = full.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    full = full.select(F.xxhash64("component", F.least("tile", "other"), F.greatest("tile", "other")).alias("cell"), "id", "members", "tile", (F.col("tile") == F.col("other")).alias("inner"), "tiles", "grams")
+                size = np.diff(firsts)
+                e1, e2 = (x.view(np.int64) for x in _digests(g, np.repeat(np.arange(j - i), size), j - i))
+                # an id may have other sets
+                ok = np.flatnonzero((size == mine[i:j]) & (e1 == d1[i:j]) & (e2 == d2[i:j]))
+                if len(ok):
+                    at = pa.array(ok + i)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(5).take(at), pa.array([g[firsts[r] : firsts[r + 1]].tobytes() for r in ok], pa.binary())], ["c", "members", "grams"])
+
+    full = texts.mapInArrow(sets, "c long, members long, grams binary")
+    met = full.join(F.broadcast(cells) if few and cells.count() <= BROADCAST_ROWS else cells, "c").select("cell", "c", "members", "tile", "inner", "grams")
 
     def link(batches):
-        for t in _grouped(batches, 0):
-            k = t["cell"].to_numpy()
-            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            ends = np.append(first, len(k))[1:]
+        for t in grouped(batches, 0):
             a, b, w = [], [], []
-            for i, j in zip(first, ends, strict=True):
+            for i, j in zip(*runs(t["cell"].to_numpy()), strict=True):
                 _link(t.slice(i, j - i), similarity, a, b, w)
-            if a:
-                none = np.concatenate([np.full(len(x), k % 2 == 0) for k, x in enumerate(a)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b), pa.int64(), mask=none), pa.array(np.concatenate(w))], ["a", "b", "weight"])
+            yield from linked_rows(a, b, w)
+
+    return s.table(met.repartition("cell").sortWithinPartitions("cell").mapInArrow(link, "a long, b long, weight long"))
 
-    return materialize(full.repartition("cell").sortWithinPartitions("cell").mapInArrow(link, "a long, b long, weight long"))
+
+def linked_rows(a: list, b: list, w: list):
+    """One batch of links; odd entries of the lists are weights, whose ``b`` is null, even ones connections."""
+    if a:
+        none = np.concatenate([np.full(len(x), k % 2 == 0) for k, x in enumerate(a)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b), pa.int64(), mask=none), pa.array(np.concatenate(w))], ["a", "b", "weight"])
+
+
+def links_of(linked: np.ndarray, ids: np.ndarray, weight: np.ndarray, a: list, b: list, w: list) -> None:
+    """Add what a symmetric matrix of links gives: weights of partners, and a star for each component."""
+    total = linked @ weight
+    some = np.flatnonzero(total)
+    if not len(some):
+        return
+    i, j = np.nonzero(np.triu(linked, 1))
+    root = roots(i, j, len(ids))
+    other = np.flatnonzero(root != np.arange(len(ids)))
+    a += [ids[some], ids[other]]
+    b += [np.full(len(some), -1), ids[root[other]]]
+    w += [total[some].astype(np.int64), np.zeros(len(other), np.int64)]
 
 
 def _link(t: pa.Table, similarity: float, a: list, b: list, w: list) -> None:
-    ids, first = np.unique(t["id"].to_numpy(), return_index=True)
+    ids, first = np.unique(t["c"].to_numpy(), return_index=True)
     if len(ids) < 2:
         return
     t = t.take(pa.array(first))
     weight, tile, inner = t["members"].to_numpy(), t["tile"].to_numpy(), t["inner"].to_numpy(zero_copy_only=False)
     sets = [np.frombuffer(x, U) for x in t["grams"].to_pylist()]
     n = np.array([len(x) for x in sets], float)
-    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), n.astype(int))
+    if len(sets) == 2:
+        common = np.array([[0.0, c := float(len(np.intersect1d(*sets, assume_unique=True)))], [c, 0.0]])
+    else:
+        common = _overlaps(sets)
+    # intersection >= similarity * union; counts are whole numbers, so the margin only takes up rounding
+    linked = common.astype(float) * (1 + similarity) >= similarity * (n[:, None] + n) - 1e-9
+    np.fill_diagonal(linked, False)
+    if not inner[0]:
+        linked &= tile[:, None] != tile
+    links_of(linked, ids, weight, a, b, w)
+
+
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many members each two sets share."""
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     order = np.argsort(flat, kind="stable")
     flat, row = flat[order], row[order]
     new = np.concatenate([[True], flat[1:] != flat[:-1]])
@@ -352,17 +499,4 @@ def _link(t: pa.Table, similarity: float, a: list, b: list, w: list) -> None:
         m = np.zeros((len(sets), 4096), np.float32)
         m[row[lo:hi], col[lo:hi] - 4096 * c] = 1
         common += m @ m.T
-    # intersection >= similarity * union; counts are whole numbers, so the margin only takes up rounding
-    linked = common.astype(float) * (1 + similarity) >= similarity * (n[:, None] + n) - 1e-9
-    np.fill_diagonal(linked, False)
-    if not inner[0]:
-        linked &= tile[:, None] != tile
-    total = linked @ weight
-    some = np.flatnonzero(total)
-    if not len(some):
-        return
-    root = _roots(linked)
-    other = np.flatnonzero(root != np.arange(len(ids)))
-    a += [ids[some], ids[other]]
-    b += [np.full(len(some), -1), ids[root[other]]]
-    w += [total[some].astype(np.int64), np.zeros(len(other), np.int64)]
+    return common

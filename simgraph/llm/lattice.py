@@ -5,8 +5,8 @@ nearest point of the E8 lattice, block by block; the points' numbers make up its
 into its own cell and into the cells next to it that lie nearest, so that two vectors meet in a table if one's cell is
 among the other's. Every pair that meets is verified by its cosine in double precision.
 
-Equal vectors are one class from the start. Links found join vectors into components, and inside each
-component every pair is compared, so no link between its members is missed.
+Equal vectors are one class from the start. Where the pairs of a cell that come near the similarity are few, each is
+verified; where they are many, their members are a group, all of whose pairs are compared tile by tile.
 """
 
 from __future__ import annotations
@@ -19,12 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from ..session import materialize
+from ..operators.skew import lookup, ranks
+from ..session import Scratch
 from ._words import U, mix
-from .jaccard import _grouped, _roots
+from .jaccard import grouped, linked_rows, links_of, meetings, pairs_and_groups, runs
 
-#: Members that one kernel compares at once.
-TILE = 1024
+#: Members of a bucket or tile, and numbers in a tile's vectors, that one kernel compares at once.
+TILE, TILE_NUMBERS = 1024, 1 << 22
+#: Lengths of vectors that may be broadcast.
+MANY = 10_000
 BLOCK_DIM = 8
 
 
@@ -114,20 +117,13 @@ def plan(n: int, dim: int, similarity: float, recall: float) -> tuple[int, float
     return int(np.ceil(np.log(1 - recall) / np.log(1 - p))), scale, probes, blocks
 
 
-def _vectors(col: pa.Array) -> list[np.ndarray | None]:
-    """Unit vectors in double precision; None where a vector is null, zero or not finite throughout."""
+def _vectors(col: pa.Array) -> list[np.ndarray]:
+    """Unit vectors in double precision, of vectors that have a direction."""
     out = []
     for x in col:
-        v = None
-        if x.is_valid and len(x.values) and not x.values.null_count:
-            v = x.values.to_numpy(zero_copy_only=False).astype(np.float64)
-            big = np.abs(v).max()
-            if np.isfinite(v).all() and big > 0:
-                v = v / big
-                v = v / np.linalg.norm(v)
-            else:
-                v = None
-        out.append(v)
+        v = x.values.to_numpy(zero_copy_only=False).astype(np.float64)
+        v = v / np.abs(v).max()
+        out.append(v / np.linalg.norm(v))
     return out
 
 
@@ -136,126 +132,126 @@ def similar_vectors(df: DataFrame, similarity: float = 0.9, recall: float = 0.99
 
     Vectors link where their cosine, in double precision, is ``similarity`` or more. ``n_links`` counts the other
     vectors linked directly, ``component_id`` is the least id that links reach. Vectors that are null, zero, or
-    hold a null or non-finite component, and vectors of unlike length, link with nothing. Rows that repeat an id
-    and vector count once and each get the result; rows without id come back with a null component and no links.
-    An empty table gives an empty one; further columns are not read. A pair alone in its component
-    is missed with probability 1 - ``recall`` at most.
+    hold a null or non-finite component, and vectors of unlike length, link with nothing. Vectors of any length are
+    read whole. Rows that repeat an id and vector count once and each get the result; an id with several vectors gets the least
+    component of them and the sum of their links; rows without id come back with a null component and no links.
+    An empty table gives an empty one; further columns are not read, whatever their names. A pair that no group
+    holds is missed with probability 1 - ``recall`` at most.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     good = F.size("v") > 0
     good &= ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     clean = rows.filter("id is not null and v is not null").filter(good).withColumn("v", F.transform("v", lambda x: x + 0.0))
-    classes = clean.groupBy("v").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("members"))
-    reps = materialize(classes.select(F.col("rep").alias("id"), "v", "members", F.size("v").alias("dim")))
-    dims = reps.groupBy("dim").count()
-    # one row for each length of vectors; lengths are few by their nature, and this fails loudly otherwise
-    plans = {r[0]: plan(r[1], r[0], similarity, recall) for r in dims.limit(1000).collect()}
+    with Scratch() as s:
+        classes = clean.groupBy("v").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("members"))
+        # classes are numbered by least id, so that the least number of a component has its least id
+        classes = s.adopt(ranks(classes, ["rep", "v"], "c"))
+        reps = classes.select("c", "v")
+        edges = _edges(s, reps, similarity, recall)
+        weights = classes.select("c", F.size("v").cast("long").alias("weight"))
+        cells = meetings(s, edges, weights, TILE, TILE_NUMBERS)
+        met = cells.join(classes.select("c", "members", "v"), "c").select("cell", "c", "members", "tile", "inner", "v")
+
+        def link(batches):
+            for t in grouped(batches, 0):
+                yield from _links(t, similarity)
+
+        exact = s.table(met.repartition("cell").sortWithinPartitions("cell").mapInArrow(link, "a long, b long, weight long"))
+        links = exact.filter("b is null").groupBy(F.col("a").alias("c")).agg(F.sum("weight").alias("linked"))
+        comps = s.adopt(connected_components(exact.filter("b is not null"), "a", "b")).withColumnsRenamed({"vertex": "c", "component": "root"})
+        out = classes.join(links, "c", "left").join(comps, "c", "left").withColumn("root", F.coalesce("root", "c"))
+        out = out.join(classes.select(F.col("c").alias("root"), F.col("rep").alias("component_id")), "root")
+        out = s.table(out.select("v", "members", "component_id", (F.col("members") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")))
+        per = lookup(clean.select("id", "v").distinct(), out, ["v"], "members", classes.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0])
+        per = per.groupBy("id").agg(F.min("component_id").alias("component_id"), F.sum("n_links").alias("n_links"))
+        known = rows.filter("id is not null").select("id").join(per, "id", "left")
+        known = known.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+        return s.result(known.union(rows.filter("id is null").select("id", F.lit(0).cast("long"), F.lit(None).cast("long"))))
+
+
+def _edges(s: Scratch, reps: DataFrame, similarity: float, recall: float) -> DataFrame:
+    """``(a, b, dense)``: pairs that meet in a cell and come near the similarity, or stars of groups of such."""
+    sizes = s.table(reps.groupBy(F.size("v").alias("dim")).count())
+
+    # each length of vectors has tables of its own, planned where a vector of that length first comes
+    sized = reps.join(F.broadcast(sizes) if sizes.count() <= MANY else sizes, F.size("v") == F.col("dim")).select("c", "v", "count")
 
     def cells(batches):
         made: dict[int, Tables] = {}
         for b in batches:
-            ids = b.column(0)
+            ids, n = b.column(0), b.column(2)
             vs = _vectors(b.column(1))
-            for d in sorted({len(v) for v in vs if v is not None}):
-                at = np.array([i for i, v in enumerate(vs) if v is not None and len(v) == d])
-                t, s, p, k = plans[d]
+            for d in sorted({len(v) for v in vs}):
+                at = np.array([i for i, v in enumerate(vs) if len(v) == d])
                 if d not in made:
-                    made[d] = Tables(d, t, k, s, p)
+                    if len(made) >= 8:
+                        made.clear()
+                    tables, scale, probes, blocks = plan(n[int(at[0])].as_py(), d, similarity, recall)
+                    made[d] = Tables(d, tables, blocks, scale, probes)
                 for i in range(0, len(at), 512):
                     part = at[i : i + 512]
-                    c = made[d].cells(np.stack([vs[x] for x in part])) ^ mix(np.full(1, d, U))
-                    n = c.shape[1]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).view(np.int64).ravel()), ids.take(pa.array(np.repeat(part, n)))], ["bucket", "id"])
+                    cell = made[d].cells(np.stack([vs[x] for x in part])) ^ mix(np.full(1, d, U))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(cell).view(np.int64).ravel()), ids.take(pa.array(np.repeat(part, cell.shape[1])))], ["bucket", "c"])
 
     def codes(batches):
         """Vectors as bytes, for a first look only."""
         for b in batches:
             out = [np.rint(v / np.abs(v).max() * 127).astype(np.int8).tobytes() for v in _vectors(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["id", "code"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["c", "code"])
 
-    picked = reps.select("id", "v").mapInArrow(cells, "bucket long, id long").distinct()
-    size = picked.groupBy("bucket").count().filter("count > 1")
-    code = reps.select("id", "v").mapInArrow(codes, "id long, code binary")
-    full = picked.join(size, "bucket").join(code, "id")
+    picked = s.table(sized.mapInArrow(cells, "bucket long, c long").distinct())
+    size = picked.groupBy("bucket").agg(F.count("*").alias("count")).filter("count > 1").withColumn("weight", F.col("count"))
+    full = lookup(picked, size, ["bucket"], "weight", picked.count()).join(reps.mapInArrow(codes, "c long, code binary"), "c")
     tiles = F.ceil(F.col("count") / TILE).cast("int")
-    full = full.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    full = full.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("c"), F.col("tiles")).cast("int"))
     full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     whole = F.when(F.col("tiles") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("tile", "other"), F.greatest("tile", "other")))
-    full = full.select(whole.alias("cell"), "id", "code").repartition("cell").sortWithinPartitions("cell")
+    full = full.select(whole.alias("cell"), "c", "code").repartition("cell").sortWithinPartitions("cell")
 
     def look(batches):
-        for t in _grouped(batches, 0):
+        for t in grouped(batches, 0):
             yield from _look(t, similarity)
 
-    loose = full.mapInArrow(look, "a long, b long").distinct()
-    groups = connected_components(loose, "a", "b").filter("component is not null")
-    count = groups.groupBy("component").count()
-    who = groups.join(count, "component").join(reps.select(F.col("id").alias("vertex"), "v", "members"), "vertex")
-    tiles = F.ceil(F.col("count") / TILE).cast("int")
-    who = who.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("vertex"), F.col("tiles")).cast("int"))
-    who = who.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    cell = F.xxhash64("component", F.least("tile", "other"), F.greatest("tile", "other"))
-    who = who.select(cell.alias("cell"), F.col("vertex").alias("id"), "members", "tile", (F.col("tile") == F.col("other")).alias("inner"), "v")
-
-    def link(batches):
-        for t in _grouped(batches, 0):
-            yield from _links(t, similarity)
-
-    exact = materialize(who.repartition("cell").sortWithinPartitions("cell").mapInArrow(link, "a long, b long, weight long"))
-    links = exact.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("weight").alias("linked"))
-    comps = connected_components(exact.filter("b is not null"), "a", "b").withColumnsRenamed({"vertex": "rep", "component": "component_id"})
-    member = clean.select("id", "v").distinct().join(classes, "v").select("id", "rep", "members")
-    per = member.join(links, "rep", "left").join(comps, "rep", "left")
-    per = per.groupBy("id").agg(F.min(F.coalesce("component_id", "rep")).alias("component_id"), F.sum(F.col("members") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
-    out = rows.select("id").join(per, "id", "left")
-    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-
-
-def _runs(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    return first, np.append(first, len(k))[1:]
-
-
-def _pairs_or_star(ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of a symmetric boolean matrix, or its stars where the pairs outnumber its rows."""
-    i, j = np.nonzero(np.triu(ok, 1))
-    if len(i) > 2 * len(ok):
-        root = _roots(ok)
-        i = np.flatnonzero(root != np.arange(len(ok)))
-        j = root[i]
-    return i, j
+    return s.table(full.mapInArrow(look, "a long, b long, dense boolean").distinct())
 
 
 def _look(t: pa.Table, similarity: float):
     """Pairs of a bucket whose byte vectors come near the similarity."""
-    ids, (first, ends) = t["id"].to_numpy(), _runs(t["cell"].to_numpy())
+    ids = t["c"].to_numpy()
     code = [np.frombuffer(x, np.int8) for x in t["code"].to_pylist()]
-    a, b = [], []
-    for i, j in zip(first, ends, strict=True):
+    a, b, dense = [], [], []
+    for i, j in zip(*runs(t["cell"].to_numpy()), strict=True):
         if j - i < 2 or len({len(c) for c in code[i:j]}) > 1:
             continue  # a cell's vectors have one length; two lengths share a number by accident only
         m = np.stack(code[i:j]).astype(np.float32)
         m /= np.linalg.norm(m, axis=1, keepdims=True)
-        x, y = _pairs_or_star(m @ m.T >= similarity - 0.03)
+        x, y, d = pairs_and_groups(m @ m.T >= similarity - 0.03)
         a.append(ids[i + x])
         b.append(ids[i + y])
+        dense.append(d)
     if a:
-        a, b = np.concatenate(a), np.concatenate(b)
+        a, b, dense = np.concatenate(a), np.concatenate(b), np.concatenate(dense)
         keep = a != b
-        p = np.unique(np.stack([np.maximum(a, b)[keep], np.minimum(a, b)[keep]], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
+        p = np.unique(np.stack([np.maximum(a, b)[keep], np.minimum(a, b)[keep], dense[keep]], 1), axis=0)
+        if len(p):
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p[:, 2].astype(bool))], ["a", "b", "dense"])
 
 
 def _links(t: pa.Table, similarity: float):
-    """Exact links of a cell's members: sums of weights, and stars."""
-    first, ends = _runs(t["cell"].to_numpy())
+    """Exact links of a cell's members."""
     a, b, w = [], [], []
-    for i, j in zip(first, ends, strict=True):
+    for i, j in zip(*runs(t["cell"].to_numpy()), strict=True):
         p = t.slice(i, j - i)
-        ids, weight, tile, inner = p["id"].to_numpy(), p["members"].to_numpy(), p["tile"].to_numpy(), p["inner"].to_numpy()
-        v = np.stack(_vectors(p["v"].combine_chunks()))
-        ok = v @ v.T >= similarity
-        near = np.argwhere(np.abs(v @ v.T - similarity) < 1e-12)
+        ids, first = np.unique(p["c"].to_numpy(), return_index=True)
+        p = p.take(pa.array(first))
+        vs = _vectors(p["v"].combine_chunks())
+        if len(ids) < 2 or len({len(v) for v in vs}) > 1:
+            continue
+        weight, tile, inner = p["members"].to_numpy(), p["tile"].to_numpy(), p["inner"].to_numpy(zero_copy_only=False)
+        v = np.stack(vs)
+        cos = v @ v.T
+        ok = cos >= similarity
+        near = np.argwhere(np.abs(cos - similarity) < 1e-12)
         raw = p["v"].to_numpy() if len(near) else None
         for x, y in near:  # the borderline by the plain formula
             q, r = np.asarray(raw[x], float), np.asarray(raw[y], float)
@@ -263,12 +259,5 @@ def _links(t: pa.Table, similarity: float):
         np.fill_diagonal(ok, False)
         if not inner[0]:
             ok &= tile[:, None] != tile
-        total = ok @ weight
-        some, root = np.flatnonzero(total), _roots(ok)
-        other = np.flatnonzero(root != np.arange(len(ids)))
-        a += [ids[some], ids[other]]
-        b += [np.full(len(some), -1), ids[root[other]]]
-        w += [total[some].astype(np.int64), np.zeros(len(other), np.int64)]
-    if a:
-        star = np.concatenate([np.full(len(x), k % 2 == 0) for k, x in enumerate(a)])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b), pa.int64(), mask=star), pa.array(np.concatenate(w))], ["a", "b", "weight"])
+        links_of(ok, ids, weight, a, b, w)
+    yield from linked_rows(a, b, w)

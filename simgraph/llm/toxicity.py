@@ -8,6 +8,7 @@ both alone.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -119,9 +120,11 @@ def fit_machine(docs: list[np.ndarray], y: np.ndarray, factors: int = 8, epochs:
     """
     n1, n0 = float(y.sum()), float((1 - y).sum())
     index = np.full(BUCKETS, -1, np.int32)
+    if not len(docs):
+        return Machine(index, np.zeros(1), np.zeros((1, factors)), -30.0)
     if not n1 or not n0:
-        p = (n1 + 1) / (n1 + n0 + 2) if len(y) else 0.0
-        return Machine(index, np.zeros(1), np.zeros((1, factors)), float(np.log(max(p, 1e-9) / max(1 - p, 1e-9))))
+        p = (n1 + 1) / (n1 + n0 + 2)
+        return Machine(index, np.zeros(1), np.zeros((1, factors)), float(np.log(p / (1 - p))))
     a, b = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
     for d, t in zip(docs, y, strict=True):
         (a if t else b)[d] += 1
@@ -166,7 +169,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on at most ``sample_rows`` labelled documents outside the held-out fold.
 
     They are those of the least hash of their id. Several labels of one document count as 1 if any is; null
-    labels and ids are skipped. What reaches the driver is the distinct buckets of twice that many rows at most.
+    labels and ids are skipped, rows of one id all count, up to twice ``sample_rows`` of them. Null and empty texts
+    have no terms; without any labelled document the machine always gives 0. The fit runs in one task over that bounded
+    sample; the driver gets the machine alone.
     """
     lab = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y is not null")
     lab = lab.filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
@@ -183,23 +188,36 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 out = [k[at[x] : at[x + 1]].astype(np.int32).tobytes() for x in range(j - i)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), y.slice(i, j - i)], ["x", "y"])
 
-    sample = got.mapInArrow(run, "x binary, y int").orderBy(F.xxhash64("x"), "x", "y").limit(2 * sample_rows).toArrow()
-    xs = [np.frombuffer(x.as_buffer(), np.int32) for x in sample["x"]]
-    return fit_machine(xs, (sample["y"].to_numpy() > 0).astype(float))
+    def fit(batches):
+        xs, ys = [], []
+        for b in batches:
+            xs += [np.frombuffer(x.as_buffer(), np.int32) for x in b.column(0)]
+            ys += b.column(1).to_pylist()
+        m = fit_machine(xs, (np.array(ys, float) > 0).astype(float))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(m)], pa.binary())], ["machine"])
+
+    sample = got.mapInArrow(run, "x binary, y int").orderBy(F.xxhash64("x"), "x", "y").limit(2 * sample_rows)
+    one = sample.coalesce(1).mapInArrow(fit, "machine binary").first()
+    return pickle.loads(one.machine) if one else fit_machine([], np.zeros(0))
 
 
 def score(df: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, score)`` for every row, from its whole text alone.
 
-    A null or empty text has no terms and gets the machine's bias. Null ids stay, repeated rows give
-    repeated rows, an empty table an empty one; further columns of ``df`` are not read.
+    A null or empty text has no terms and gets the machine's bias; a very long one is read in slices and scored
+    as a whole. Null ids stay, repeated rows give repeated rows, an empty table an empty one; further columns of
+    ``df`` are not read. Equal texts get equal scores.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_scorer(machine, 1, [0], ["id", "score"]), f"id {rows.schema['id'].dataType.simpleString()}, score double")
 
 
 def keep_clean(df: DataFrame, machine: Machine, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """Rows of ``df`` whose text scores below ``threshold``, all columns as they are."""
+    """Rows of ``df`` whose text scores below ``threshold``, all columns as they are.
+
+    Each row is judged by its whole text alone, of any length: null ids and repeated rows are kept or dropped as
+    their texts are, a null or empty text by the machine's bias. An empty table gives an empty one.
+    """
     names = df.columns
     at = names.index(text_col)
 
