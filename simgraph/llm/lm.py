@@ -1,163 +1,28 @@
 """Cross-entropy difference of two n-gram models over one vocabulary.
 
-The target model counts the documents named as its own, the background model all documents. ``differences``
-counts every word bigram of the corpus in tables that grow with it and stay on the executors; each block of
-documents gets the counts of its own n-grams back.
-
-``train`` and ``score`` are a model of fixed size, for scoring tables other than those counted. Both its models are class
-bigrams, p(word | history) = p(class | class of history) p(word | class), and share vocabulary, classes and
-smoothing, so that their losses differ by their counts alone. The most frequent words are classes of their own.
-Counts cover every document; executors sum them by range, and only tables of the parameters' size reach the
-driver.
+The target model counts the documents named as its own, the background model all documents. Every word bigram of the corpus is
+counted in tables that grow with it and stay on the executors; each block of documents gets the counts of its own
+n-grams back.
+
+The models are matched: they share vocabulary and smoothing, and the background's counts are scaled to as many words as the
+target has, so that neither is smoothed harder for its size. No document is scored with its own counts: they are
+taken off both models first.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import Scratch
 from ._words import U, buffers, mix, slices, words
 
-#: Words known; those of them that are classes; classes that the others and the unknown share.
-VOCABULARY, SINGLE, SHARED, RANGES = 1 << 15, 1024, 400, 64
-CLASSES = SINGLE + SHARED + 2
-#: Weight of the class unigrams in a bigram's estimate, in counts.
+#: Weight of the word's share in a bigram's estimate, in counts.
 PRIOR = 5.0
 
 
-def _runs_of_words(batches, column: int, most: int = 8 << 20):
-    """Word hashes of many texts at once."""
-    held, n = [], 0
-    for b in batches:
-        t, offs = buffers(b.column(column))
-        for i, j in slices(offs, 4 << 20):
-            h = words(t[offs[i] : offs[j]], offs[i : j + 1] - offs[i])[2]
-            held.append(h)
-            n += len(h)
-            if n >= most:
-                yield np.concatenate(held)
-                held, n = [], 0
-    if held:
-        yield np.concatenate(held)
-
-
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, ascending, of the ``size`` most frequent words of all documents, their classes).
-
-    Ties go to the smaller hash. The last two classes are those of unknown words and of a text's start.
-    """
-
-    def count(batches):
-        for h in _runs_of_words(batches, 0):
-            u, n = np.unique(h, return_counts=True)
-            for i in range(0, len(u), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(u[i : i + (1 << 18)].view(np.int64)), pa.array(n[i : i + (1 << 18)])], ["h", "n"])
-
-    per = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = per.orderBy(F.desc("n"), "h").limit(size).select("h").toArrow()
-    h = top["h"].to_numpy().view(U) if top.num_rows else np.zeros(0, U)
-    order = np.argsort(h)
-    return h[order], np.append(np.where(order < SINGLE, order, SINGLE + (h[order] % U(SHARED)).astype(np.int64)), CLASSES - 2)
-
-
-def _ids(h: np.ndarray, vocab: np.ndarray) -> np.ndarray:
-    """Places in the vocabulary; its length stands for unknown words."""
-    if not len(vocab):
-        return np.zeros(len(h), np.int64)
-    k = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
-    return np.where(vocab[k] == h, k, len(vocab))
-
-
-def _pairs(h: np.ndarray, rows: np.ndarray, vocab: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(previous class and class as one number, id) of every word; a document's first follows a start mark."""
-    w = _ids(h, vocab)
-    c = classes[w]
-    prev = np.empty(len(w), np.int64)
-    prev[1:] = c[:-1]
-    prev[rows[:-1][np.diff(rows) > 0]] = CLASSES - 1
-    return prev * CLASSES + c, w
-
-
-@dataclass
-class Pair:
-    """Counts of both models, target first: class bigrams and words."""
-
-    vocab: np.ndarray
-    classes: np.ndarray
-    bigrams: np.ndarray
-    words: np.ndarray
-
-    def __post_init__(self) -> None:
-        n = np.bincount(self.classes, minlength=CLASSES)
-        b = self.bigrams.reshape(2, CLASSES, CLASSES)
-        p1 = (b.sum(1) + 0.5) / (b.sum((1, 2)) + 0.5 * CLASSES)[:, None]
-        p2 = (b + PRIOR * p1[:, None, :]) / (b.sum(2) + PRIOR)[:, :, None]
-        of = np.stack([np.bincount(self.classes, x, CLASSES) for x in self.words])
-        pw = (self.words + 0.5) / (of + 0.5 * n)[:, self.classes]
-        self.loss2, self.loss1 = -np.log(p2).reshape(2, -1).astype(np.float32), -np.log(pw)
-
-    def __getstate__(self) -> dict:
-        """What scoring needs; counts stay behind."""
-        return {k: v for k, v in self.__dict__.items() if k not in ("bigrams", "words")}
-
-    def losses(self, h: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Mean loss a word of each text under both models, as two columns; 0 without words."""
-        pair, w = _pairs(h, rows, self.vocab, self.classes)
-        row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
-        n = np.maximum(np.diff(rows), 1)
-        return np.stack([np.bincount(row, self.loss2[m, pair] + self.loss1[m, w], len(n)) / n for m in (0, 1)], 1)
-
-
-def train(docs: DataFrame, size: int = VOCABULARY) -> Pair:
-    """Both models from ``docs`` (text, is_target)."""
-    docs = docs.select("text", "is_target").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
-    vocab, classes = vocabulary(docs, size)
-    first = CLASSES * CLASSES
-    length = first + len(vocab) + 1
-    step = -(-length // RANGES)
-
-    def count(batches):
-        total = np.zeros((2, length), np.int64)
-        for b in batches:
-            t, offs = buffers(b.column(0))
-            goal = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for i, j in slices(offs, 4 << 20):
-                _, _, h, rows = words(t[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                pair, w = _pairs(h, rows, vocab, classes)
-                mine = goal[i:j][np.repeat(np.arange(j - i), np.diff(rows))]
-                for x in (pair, first + w):
-                    total[1] += np.bincount(x, minlength=length)
-                    total[0] += np.bincount(x[mine], minlength=length)
-        for r in range(RANGES):
-            part = total[:, r * step : (r + 1) * step]
-            k = np.flatnonzero(part[1])
-            if len(k):
-                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([k.astype(np.int32).tobytes()], pa.binary()), pa.array([part[0, k].tobytes()], pa.binary()), pa.array([part[1, k].tobytes()], pa.binary())], ["r", "k", "a", "b"])
-
-    def add(batches):
-        """Sums of the ranges that come, each range whole in one task."""
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for r, k, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                t = sums.setdefault(r, np.zeros((2, step), np.int64))
-                at = np.frombuffer(k, np.int32)
-                t[0, at] += np.frombuffer(x, np.int64)
-                t[1, at] += np.frombuffer(y, np.int64)
-        for r, t in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([t.tobytes()], pa.binary())], ["r", "t"])
-
-    parts = docs.mapInArrow(count, "r int, k binary, a binary, b binary").repartition(RANGES, "r")
-    whole = np.zeros((2, step * RANGES), np.int64)
-    for r in parts.mapInArrow(add, "r int, t binary").collect():  # the parameters' size
-        whole[:, r.r * step : (r.r + 1) * step] = np.frombuffer(bytes(r.t), np.int64).reshape(2, step)
-    return Pair(vocab, classes, whole[:, :first].astype(float), whole[:, first:length].astype(float))
-
-
 def marked(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = 2_000_000) -> DataFrame:
     """``docs`` as (id, text, is_target): those that any label row marks with 1.
 
@@ -168,25 +33,6 @@ def marked(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return rows.join(F.broadcast(good) if good.count() <= most else good, "id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
 
 
-def score(docs: DataFrame, pair: Pair) -> DataFrame:
-    """``(id, n_words, loss_target, loss_background, score)`` for every row of ``docs`` (id, text).
-
-    ``score`` is the target's loss a word less the background's: the lower, the closer to the target. A
-    null or empty text has no words and scores 0; null ids stay, repeated rows give repeated rows.
-    """
-
-    def run(batches):
-        for b in batches:
-            t, offs = buffers(b.column(1))
-            for i, j in slices(offs, 4 << 20):
-                _, _, h, rows = words(t[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                x = pair.losses(h, rows)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(rows).astype(np.int64)), pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy()), pa.array(x[:, 0] - x[:, 1])], ["id", "n_words", "loss_target", "loss_background", "score"])
-
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, n_words long, loss_target double, loss_background double, score double")
-
-
 #: Bytes of text of a block of documents, which is counted and scored at once.
 BLOCK_BYTES = 6 << 20
 _START = U(0x5851F42D4C957F2D)
@@ -224,12 +70,17 @@ def differences(docs: DataFrame, block_bytes: int | None = None) -> DataFrame:
     """``(id, n_words, loss_target, loss_background, score)`` for every row of ``docs`` (id, text, is_target).
 
     Losses are means a word under p(word | previous) = (count of both + ``PRIOR`` p(word)) / (count of previous
-    + ``PRIOR``), p(word) = (count + 0.5) / (words + 0.5 (distinct words of all documents + 1)), all counts
-    exact and of the whole corpus. ``score`` is the target's loss less the background's.
+    + ``PRIOR``), p(word) = (count + 0.5) / (words + 0.5 (distinct words of all documents + 1)). Counts are exact and of
+    the whole corpus, less those of the row that is scored, which the target loses if the row is its own; the
+    background's counts and words are multiplied by the target's words over its own. ``score`` is the target's loss
+    less the background's: the lower, the closer to the target; where no row is a target all scores are 0.
 
     Documents are written once as blocks. A block sends its distinct n-grams with their counts to the ranges they
     belong to, where they are added over all blocks, and gets back the sums of those it asked for, so a
-    frequent n-gram is one entry a block and no key fills a task. Rows are treated as in ``score``.
+    frequent n-gram is one entry a block and no key fills a task.
+
+    A null or empty text has no words and scores 0; texts of any length are read whole; null ids stay, repeated rows give
+    repeated rows and count each; a null ``is_target`` is none; an empty table gives an empty one; further columns are not read.
     """
     most = block_bytes or BLOCK_BYTES
     kind = docs.schema["id"].dataType.simpleString()
@@ -259,7 +110,9 @@ def differences(docs: DataFrame, block_bytes: int | None = None) -> DataFrame:
         if held:
             yield whole()
 
-    dealt = materialize(docs.select("id", "text", "is_target").mapInArrow(deal, f"block long, ids array<{kind}>, text binary, offs binary, goal binary"))
+    docs = docs.select("id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    scratch = Scratch()
+    dealt = scratch.table(docs.mapInArrow(deal, f"block long, ids array<{kind}>, text binary, offs binary, goal binary"))
     bits = max(5, (dealt.count() // 4).bit_length())
     edges = np.arange(1, 1 << bits, dtype=U) << U(64 - bits)
     asks = pa.schema([("r", pa.int32()), ("block", pa.int64()), ("k", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
@@ -286,22 +139,36 @@ def differences(docs: DataFrame, block_bytes: int | None = None) -> DataFrame:
         return pa.table([list(c) for c in zip(*out, strict=True)], schema=sums)
 
     asked = dealt.drop("ids").groupBy("block").applyInArrow(count, "r int, block long, k binary, a binary, b binary")
-    told = materialize(asked.groupBy("r").applyInArrow(add, "r int, block long, a binary, b binary, n long, na long, nb long"))
+    told = scratch.table(asked.groupBy("r").applyInArrow(add, "r int, block long, a binary, b binary, n long, na long, nb long"))
     distinct, *totals = (x or 0 for x in told.filter("block = -1").agg(F.sum("n"), F.sum("na"), F.sum("nb")).first())
 
+    # the background's words become as many as the target's
+    matched = (1.0, totals[0] / totals[1] if totals[1] else 0.0)
+
     def lose(t: pa.Table, told: pa.Table) -> pa.Table:
-        first, keys, order, (w, v, g) = _ngrams(t)
+        first, keys, order, places = _ngrams(t)
         told = told.sort_by("r")
         n, loss = np.diff(first), []
         row = np.repeat(np.arange(len(n)), n)
-        for c, total in zip("ab", totals, strict=True):
+        goal = _unpack(t["goal"][0], np.uint8).astype(bool)[row]
+        own = [_repeats(row, p, len(keys)) for p in places]
+        for c, total, scale, mine in zip("ab", totals, matched, (goal, True), strict=True):
             x = np.empty(len(keys), np.int64)
             x[order] = np.concatenate([_unpack(y, np.int64) for y in told[c]])
-            p = (x[w] + 0.5) / (total + 0.5 * (distinct + 1))
-            loss.append(np.bincount(row, np.log(x[v] + PRIOR) - np.log(x[g] + PRIOR * p), len(n)) / np.maximum(n, 1))
+            w, v, g = (scale * (x[p] - o * mine) for p, o in zip(places, own, strict=True))
+            p = (w + 0.5) / (scale * (total - n[row] * mine) + 0.5 * (distinct + 1))
+            loss.append(np.bincount(row, np.log(v + PRIOR) - np.log(g + PRIOR * p), len(n)) / np.maximum(n, 1))
         ids = t["ids"].combine_chunks()
         ids = (ids if isinstance(ids, pa.Array) else ids.chunk(0)).flatten()
         return pa.table([ids, pa.array(n.astype(np.int64)), *map(pa.array, loss), pa.array(loss[0] - loss[1])], names=["id", "n_words", "loss_target", "loss_background", "score"])
 
     per = told.filter("block >= 0").select("block", "r", "a", "b").groupBy("block")
-    return dealt.drop("goal").groupBy("block").cogroup(per).applyInArrow(lose, f"id {kind}, n_words long, loss_target double, loss_background double, score double")
+    out = dealt.groupBy("block").cogroup(per).applyInArrow(lose, f"id {kind}, n_words long, loss_target double, loss_background double, score double")
+    with scratch:
+        return scratch.result(out)
+
+
+def _repeats(row: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    """How often each word's n-gram comes in its own row."""
+    _, at, count = np.unique(row * n + place, return_inverse=True, return_counts=True)
+    return count[at]
