@@ -354,7 +354,7 @@ def test_op3_equals_whole_bigram_counts(spark, tmp_path, monkeypatch):
     assert {x.score for x in lm.differences(lm.marked(frame(spark, ["a b", "a"]), spark.createDataFrame([], "doc_id long, quality int"))).collect()} == {0.0}
 
 
-def test_quotations(spark):
+def test_quotations(spark, tmp_path):
     rows = [
         (1, 0, "user", "How do I sort a list?\n\nIt has names."),
         (1, 1, "assistant", "Use sorted()."),
@@ -365,14 +365,72 @@ def test_quotations(spark):
         (2, 0, "user", "> Use sorted().\nno such message here"),
         (None, 0, "user", "> x"),
         (1, 4, "user", "> how do i sort a list\nAnother way?"),
+        (3, 0, "user", "one two three four five\nsix seven eight nine ten\neleven twelve thirteen fourteen"),
+        (3, 1, "user", "> one two three four five\n> six seven eight nine ten\nfirst two lines of three"),
+        (3, 2, "user", "> two three four five six\n> seven eight nine ten eleven\nwrapped anew and trimmed"),
+        (3, 3, "user", ">> one two three four five six seven eight\n> first two lines of three\nnested"),
+        (3, 4, "user", "x" * 10 + (" y" * 150_000) + "\n> first two lines of three"),
     ]
-    df = spark.createDataFrame([(*r, 1, "z") for r in rows], "conv_id long, turn long, role string, text string, thread int, says string")
-    got = {(r.conv_id, r.turn): r for r in quotes.link(df).collect()}
+    df = spark.createDataFrame([(*r, 1, "z", 0) for r in rows], "conv_id long, turn long, role string, text string, thread int, says string, unit int")
+    linked = quotes.link(df)
+    got = {(r.conv_id, r.turn): r for r in linked.collect()}
     assert got[1, 2].reply_to == 1 and got[1, 2].text == "That works, and backwards?" and got[1, 2].thread == 1
     assert got[1, 3].reply_to == 2 and got[1, 3].n_quotes == 2 and got[1, 3].n_linked == 2 and got[1, 3].thread == 1 and got[1, 3].depth == 2
     assert got[1, 4].reply_to == 0 and got[1, 5].text == "" and got[2, 0].reply_to is None and got[2, 0].n_linked == 0
-    assert quotes.link(df).count() == len(rows) and quotes.link(df.limit(0)).count() == 0
-    assert quotes.formatted(quotes.link(df)).filter("conv_id = 1 and turn = 5").first().formatted == "<|user|>\n"
+    assert got[3, 1].reply_to == 0 and got[3, 2].reply_to == 0
+    assert got[3, 3].reply_to == 1 and got[3, 3].n_linked == 2 and got[3, 3].depth == 2 and got[3, 4].reply_to == 1
+    assert [t for _, t in sorted((r.position, r.turn) for r in linked.filter("conv_id = 1").collect())] == [0, 4, 4, 1, 2, 3, 5]
+    assert linked.count() == len(rows) and quotes.link(df.limit(0)).count() == 0 and got[None, 0].position is None
+    assert quotes.formatted(linked).filter("conv_id = 1 and turn = 5").first().formatted == "<|user|>\n"
+    quotes.conversations(linked, f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == len(rows)
+
+
+def plain_links(rows):
+    """Every message against every earlier one of its conversation."""
+    own, quoted = quotes.units_of([quotes.parse(t or "") for *_, t in rows])
+    reply, n = {}, {}
+    for i, (c, t, _, _) in enumerate(rows):
+        hits = []
+        for place, (level, units) in enumerate(quoted[i]):
+            first = [min((u for k, (d, u, *_) in enumerate(rows) if d == c and x in own[k]), default=None) for x in units]
+            first = [f for f in first if f is not None and f < t]
+            if len(first) >= 0.5 * len(units):
+                hits.append((level, place, max(first)))
+        reply[c, t], n[c, t] = (min(hits)[2] if hits else None), len(hits)
+    out = {}
+    for c, t in reply:
+        up, depth = t, 0
+        while reply[c, up] is not None:
+            up, depth = reply[c, up], depth + 1
+        out[c, t] = (n[c, t], reply[c, t], up, depth)
+    order = sorted(out, key=lambda k: (k[0], out[k][2], k[1]))
+    place = {}
+    return {k: (*out[k], place.setdefault(k[0], []).append(k) or len(place[k[0]]) - 1) for k in order}
+
+
+def test_quotations_equal_brute_force(spark):
+    r = random.Random(21)
+    rows = []
+    for c in range(12):
+        texts = []
+        for t in range(r.choice([1, 6, 25])):
+            lines = []
+            for _ in range(r.randint(0, 3) if texts else 0):
+                w = quotes.normalise(re.sub(r"(?m)^.*>.*$", "", r.choice(texts))).split()
+                if w:
+                    k = r.randint(0, len(w) - 1)
+                    part = w[k : k + r.choice([3, 8, 15, 40])]
+                    at = r.randint(1, len(part))
+                    mark = r.choice([">", "> > ", ">>> "])
+                    lines += [f"{mark} {' '.join(part[:at])}", f"{mark} {' '.join(part[at:])}", ""]
+            lines += [" ".join(r.choice(["yes", "the", *(f"w{k}" for k in range(400))]) for _ in range(r.randint(0, 30))) + r.choice([".", "?", ""]) for _ in range(r.randint(1, 3))]
+            texts.append("\n".join(lines))
+        rows += [(c, t, r.choice(["user", "assistant"]), x) for t, x in enumerate(texts)]
+    got = quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    want = plain_links(rows)
+    assert {(x.conv_id, x.turn): (x.n_linked, x.reply_to, x.thread, x.depth, x.position) for x in got} == want
+    assert sum(w[0] for w in want.values()) > 50 and max(w[3] for w in want.values()) > 3
 
 
 def plain_rule(url, rules):
