@@ -12,7 +12,8 @@ Three passes over blocks of documents:
    through them; every word of an occurrence in a document with a greater id than a window's least is removed.
 
 Blocks and shards are bounded by design: a block by its bytes of text, a shard by its range of hashes, and
-each block sends a seed or passage once, so no passage, however common, fills a task.
+each block sends a seed or passage once, so no passage, however common, fills a task. A seed that stands in many different
+passages is hot: its windows go to shards one by one, by hashes of their own.
 """
 
 from __future__ import annotations
@@ -25,11 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import lookup
+from ..session import materialize
 from ._words import U, buffers, grams, sliding_min, words
 
 SEED = 6
 #: Bytes of text in a block, and for each shard of seeds and passages.
-BLOCK_BYTES, SHARD_BYTES = 8 << 20, 24 << 20
+BLOCK_BYTES, SHARD_BYTES = 6 << 20, 24 << 20
+#: Windows of a seed in all blocks from which it is hot, and in one block from which they are counted as so many.
+HOT, MANY = 4096, 64
 #: Letters of the automata: words hashed into code points without surrogates.
 _LETTERS = 0x10FFFF - 0x800 - 1
 PHRASES = 50_000
@@ -103,19 +108,22 @@ def _window_hashes(codes: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
 def _passages(b: _Block, seeds: np.ndarray):
     """The passages of recurring seeds: stretches of windows with one seed, as rows of 2*width-SEED words.
 
-    Returns seed, words' 48-bit codes (0 where a passage ends before the row does), number of windows and
-    document.
+    ``seeds`` have their lowest two bits cleared but for the mark of hot ones, whose windows are passages each. Returns the
+    number that deals them to shards, words' 48-bit codes (0 where a passage ends before the row does), number of
+    windows and document.
     """
     at, seed = b.windows()
     if len(seeds) and len(at):
-        k = np.minimum(np.searchsorted(seeds, seed), len(seeds) - 1)
-        hit = seeds[k] == seed
+        bare = seeds & ~U(3)
+        k = np.minimum(np.searchsorted(bare, seed & ~U(3)), len(seeds) - 1)
+        hit = bare[k] == seed & ~U(3)
+        hot = ((seeds[k] & U(1)) == 1)[hit]
     else:
-        hit = np.zeros(len(at), bool)
+        hit, hot = np.zeros(len(at), bool), np.zeros(0, bool)
     at, seed = at[hit], seed[hit]
     most = b.width - min(SEED, b.width) + 1
     new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1] + 1) | (seed[1:] != seed[:-1]) | (b.row[at[1:]] != b.row[at[:-1]])
+    new[1:] = hot[1:] | (at[1:] != at[:-1] + 1) | (seed[1:] != seed[:-1]) | (b.row[at[1:]] != b.row[at[:-1]])
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(at)))
     if (n > most).any():  # a seed that repeats itself: stretches are cut
@@ -128,7 +136,11 @@ def _passages(b: _Block, seeds: np.ndarray):
     start = at[first]
     idx = start[:, None] + np.arange(long)
     codes = np.where(np.arange(long) < (n + b.width - 1)[:, None], b.code[np.minimum(idx, max(0, len(b.h) - 1))] if len(b.h) else U(0), U(0))
-    return seed[first], codes, n, b.ids[b.row[start]] if len(start) else np.zeros(0, np.int64)
+    deal = seed[first]
+    if hot.any():
+        own = hot[first]
+        deal[own] = _window_hashes(codes[own], b.width)[0][:, 0]
+    return deal, codes, n, b.ids[b.row[start]] if len(start) else np.zeros(0, np.int64)
 
 
 def remove_repeats(df: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,9 +148,9 @@ def remove_repeats(df: DataFrame, width: int = 13, id_col: str = "doc_id", text_
 
     A word goes if a window of ``width`` words that covers it also starts in a document with a smaller id.
     Windows are judged on the input. ``kept`` joins the words that stay by one space. A null or empty text has
-    no words. A row without id is compared with none: all its words stay. Rows that share an id are one
-    another's equals, so neither loses words to the other. An empty table gives an empty one; further
-    columns are not read.
+    no words; a text of any length is read whole, in one block. A row without id is compared with none: all its words stay.
+    Rows that share an id are one another's equals, so neither loses words to the other. An empty table gives an
+    empty one; further columns are not read, whatever their names.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -146,11 +158,11 @@ def remove_repeats(df: DataFrame, width: int = 13, id_col: str = "doc_id", text_
     blocks, shards = max(1, -(-size // BLOCK_BYTES)), max(1, -(-size // SHARD_BYTES))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
     known = rows.filter("doc_id is not null")
-    dealt = known.select(block.alias("block"), "doc_id", "text").repartition(int(blocks), "block")
+    dealt = known.select(block.alias("block"), "doc_id", "text")
 
-    digest = known.select("doc_id", F.md5("text").alias("m"), F.octet_length("text").alias("l"))
-    lead = digest.groupBy("m", "l").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).filter("lead < last")
-    copies = digest.join(lead, ["m", "l"]).filter("doc_id > lead")
+    digest = materialize(known.select("doc_id", F.md5("text").alias("m"), F.octet_length("text").alias("l")))
+    lead = digest.groupBy("m", "l").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last"), F.count("*").alias("times")).filter("lead < last").drop("last")
+    copies = lookup(digest, lead, ["m", "l"], "times", n).filter("doc_id > lead")
     # 24 bytes a copy: the id, low byte first, and the digest
     swapped = F.concat(*[F.substring(F.lpad(F.hex("doc_id"), 16, "0"), 15 - 2 * i, 2) for i in range(8)])
     record0 = F.unhex(F.concat(swapped, "m"))
@@ -164,14 +176,14 @@ def remove_repeats(df: DataFrame, width: int = 13, id_col: str = "doc_id", text_
         b = _Block(docs, width, _numbers(_blobs(side, 0), COPY))
         at, seed = b.windows()
         order = np.argsort(seed, kind="stable")
-        seed, row = seed[order], b.ids[b.row[at[order]]]
+        seed, row = seed[order] & ~U(3), b.ids[b.row[at[order]]]
         new = np.ones(len(seed), bool)
         new[1:] = seed[1:] != seed[:-1]
         first = np.flatnonzero(new)
         uniq = seed[first]
-        # the lowest bit tells that the block itself has the seed in two documents
-        many = np.minimum.reduceat(row, first) != np.maximum.reduceat(row, first) if len(first) else np.zeros(0, bool)
-        uniq = (uniq & ~U(1)) | many.astype(U)
+        # the lowest bits tell whether the block has the seed in one document, in two, or in many windows
+        twice = np.minimum.reduceat(row, first) != np.maximum.reduceat(row, first) if len(first) else np.zeros(0, bool)
+        uniq = uniq | np.where(twice, np.where(np.diff(np.append(first, len(seed))) >= MANY, 2, 1), 0).astype(U)
         cut = _split(uniq, shards)
         parts = [(s, uniq[cut[s] : cut[s + 1]].tobytes()) for s in range(shards) if cut[s + 1] > cut[s]]
         return pa.table([pa.array([s for s, _ in parts], pa.int32()), pa.array([key[0].as_py()] * len(parts), pa.int32()), pa.array([d for _, d in parts], pa.binary())], schema=sent)
@@ -179,11 +191,20 @@ def remove_repeats(df: DataFrame, width: int = 13, id_col: str = "doc_id", text_
     def recurring(key, t):
         blocks_, data = t["block"].to_pylist(), t["data"].to_pylist()
         parts = [np.frombuffer(d, U) for d in data]
-        every = np.concatenate([np.unique(p & ~U(1)) for p in parts])
-        marked = np.concatenate([p[(p & U(1)) == 1] & ~U(1) for p in parts])
+        every = np.concatenate(parts)
         every.sort()
-        twice = np.union1d(every[1:][every[1:] == every[:-1]], marked)
-        out = [(b, np.intersect1d(twice, p & ~U(1))) for b, p in zip(blocks_, parts, strict=True)]
+        bare = every & ~U(3)
+        first = np.flatnonzero(np.concatenate([[True], bare[1:] != bare[:-1]]))
+        # windows in all blocks, each counted as the least its mark stands for, and blocks
+        seen = np.add.reduceat(np.array([1, 2, MANY])[(every & U(3)).astype(np.int64)], first)
+        known_, hot = bare[first], seen >= HOT
+        back_ = known_ | hot.astype(U)
+        known_, back_ = known_[seen > 1], back_[seen > 1]
+        out = []
+        for b, p in zip(blocks_, parts, strict=True):
+            p = p & ~U(3)
+            k = np.minimum(np.searchsorted(known_, p), max(0, len(known_) - 1))
+            out.append((b, back_[k[known_[k] == p]] if len(known_) else known_))
         out = [(b, d.tobytes()) for b, d in out if len(d)]
         return pa.table([pa.array([b for b, _ in out], pa.int32()), pa.array([1] * len(out), pa.int32()), pa.array([d for _, d in out], pa.binary())], schema=back)
 
@@ -197,7 +218,7 @@ def remove_repeats(df: DataFrame, width: int = 13, id_col: str = "doc_id", text_
             return sent.empty_table()
         b = _Block(docs, width, _numbers(_blobs(side, 0), COPY))
         seeds = np.sort(_numbers(_blobs(side, 1), U))
-        seed, codes, n, doc = _passages_loose(b, seeds)
+        seed, codes, n, doc = _passages(b, seeds)
         if not len(seed):
             return sent.empty_table()
         out = np.zeros(len(seed), record)
@@ -209,17 +230,6 @@ def remove_repeats(df: DataFrame, width: int = 13, id_col: str = "doc_id", text_
         parts = [(s, out[cut[s] : cut[s + 1]].tobytes()) for s in range(shards) if cut[s + 1] > cut[s]]
         return pa.table([pa.array([s for s, _ in parts], pa.int32()), pa.array([key[0].as_py()] * len(parts), pa.int32()), pa.array([d for _, d in parts], pa.binary())], schema=sent)
 
-    def _passages_loose(b: _Block, seeds: np.ndarray):
-        # seeds travel without their lowest bit
-        at, seed = b.windows()
-        full = np.unique(seed)
-        if len(seeds) and len(full):
-            k = np.minimum(np.searchsorted(seeds, full & ~U(1)), len(seeds) - 1)
-            full = full[seeds[k] == full & ~U(1)]
-        else:
-            full = full[:0]
-        return _passages(b, full)
-
     def _merge(out: np.ndarray, codes: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One record for equal passages, with the least and greatest id."""
         a, c = _window_hashes(codes, long)
@@ -334,7 +344,8 @@ def remove_repeats(df: DataFrame, width: int = 13, id_col: str = "doc_id", text_
         gap = s[later] - 1
         data[gap] = 32
         inside[gap] = True
-        ends = np.concatenate([[0], np.cumsum(inside)])[b.offs]
+        kind = np.int32 if len(inside) < 1 << 31 else np.int64
+        ends = np.concatenate([np.zeros(1, kind), np.cumsum(inside, dtype=kind)])[b.offs]
         flat = data[inside]
         kept = pa.Array.from_buffers(pa.large_string(), len(b.ids), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(flat.tobytes())]).cast(pa.string())
         lost = np.bincount(b.row, removed, len(b.ids)).astype(np.int64)

@@ -106,6 +106,8 @@ def plain_phrases(rows, width=13):
 def test_phrases_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(phrases, "BLOCK_BYTES", 4000)
     monkeypatch.setattr(phrases, "SHARD_BYTES", 9000)
+    monkeypatch.setattr(phrases, "HOT", 60)
+    monkeypatch.setattr(phrases, "MANY", 4)
     r = random.Random(3)
     vocab = ["a", "b", "the", "of", *(f"w{i}" for i in range(200))]
     some = lambda n: [r.choice(vocab) for _ in range(n)]
@@ -118,6 +120,10 @@ def test_phrases_equal_brute_force(spark, monkeypatch):
             k = r.randint(0, 3)
             w += s[k : len(s) - r.randint(0, 3)] + some(r.randint(0, 5))
         rows.append((i, r.choice([" ", "\n", " \t"]).join(w)))
+    # a run that stands in other words each time, twice in the same
+    run = some(6)
+    rows += [(2000 + i, " ".join(some(9) + run + some(9) + (some(12) + run + shared[0] if i % 9 == 0 else []))) for i in range(120)]
+    rows += [(3000, rows[0][1]), (3001, " ".join(f"long{k}" for k in range(20_000)) + " " + rows[1][1])]
     rows += [(900, rows[0][1]), (901, rows[0][1]), (900, rows[0][1]), (902, None), (903, ""), (None, rows[0][1]), (901, rows[5][1] + " " + rows[6][1])]
     docs = frame(spark, [t for _, t in rows], [i for i, _ in rows])
     got = sorted((-1 if x.id is None else x.id, x.n_words, x.n_removed, x.kept) for x in phrases.remove_repeats(docs).collect())
