@@ -9,10 +9,11 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, release
 
 
 @dataclass(frozen=True)
@@ -106,9 +107,9 @@ def judge(df: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: st
 
     Suffixes are broadcast where they are ``most_suffixes`` at most, and joined by a shuffle beyond.
 
-    A null URL, or one without ``://``, has an empty host and path and is judged by its features. Null
-    ids stay, repeated rows give repeated rows, an empty table an empty one, and further columns of
-    ``df`` are not read.
+    A null URL, or one without ``://``, has an empty host and path and is judged by its features; a URL of any length is
+    read whole. Of rules that fit, the longest wins. Null ids stay, repeated rows give repeated rows, an empty table an
+    empty one, and further columns of ``df`` are not read, whatever their names.
     """
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"))
     rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
@@ -120,19 +121,15 @@ def judge(df: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: st
     rate = F.when(F.col("labelled") > 0, (F.col("blocked") + 1) / (F.col("labelled") + 2)).otherwise((all_blocked + 1) / (all_labelled + 2))
     stats = counts.select("suffix", F.log1p("n").alias("suffix_seen"), rate.alias("suffix_blocked"))
     stats = F.broadcast(stats) if n_suffixes <= most_suffixes else stats
-    sample = rows.filter("rule is not null")
-    sample = sample.orderBy(F.xxhash64("url"), "id", "url").limit(sample_rows).persist()
-    try:
-        n, n_block = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
-        whole = lambda d: VectorAssembler(inputCols=FEATURES, outputCol="features").transform(d.join(stats, "suffix", "left"))
-        if 0 < n_block < n:
-            model = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=64, seed=1).fit(whole(sample).select("features", "label"))
-            from pyspark.ml.functions import vector_to_array
-
-            scored = model.transform(whole(rows.drop("label"))).withColumn("score", vector_to_array("probability")[1])
-        else:
-            scored = rows.withColumn("score", F.lit(n_block / n if n else 0.0))
-    finally:
-        sample.unpersist()
+    sample = rows.filter("rule is not null").orderBy(F.xxhash64("url"), "id", "url").limit(sample_rows)
+    sample = materialize(sample.select("suffix", "label", *FEATURES[:-2]))
+    n, n_block = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    whole = lambda d: VectorAssembler(inputCols=FEATURES, outputCol="features").transform(d.join(stats, "suffix", "left"))
+    if 0 < n_block < n:
+        model = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=64, seed=1).fit(whole(sample).select("features", "label"))
+        scored = model.transform(whole(rows.drop("label"))).withColumn("score", vector_to_array("probability")[1])
+    else:
+        scored = rows.withColumn("score", F.lit(n_block / n if n else 0.0))
+    release(sample)
     verdict = F.coalesce(F.col("rule.verdict"), F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
     return scored.select("id", "host", "path", F.col("rule.text").alias("rule"), verdict.alias("verdict"), "score")

@@ -271,6 +271,40 @@ def test_toxicity_frames(spark):
     assert {r.doc_id for r in fold} == {i for i in range(403) if zlib.crc32(str(i).encode()) % 5 == 0}
 
 
+def test_op4_equals_the_plain_pair_sum(spark, tmp_path):
+    import zlib
+
+    from simgraph.llm.queries import QUERIES, table
+
+    r = random.Random(17)
+    calm = lambda n: " ".join(r.choice("tree river stone cloud walk read song bread zaun größe".split()) for _ in range(n))
+    texts = [calm(20) + (" you IDIOT-" + r.choice(["scum", "moron"]) if i % 3 == 0 else " you friend") for i in range(300)] + [None, "", calm(60_000) + " idiot scum", calm(5)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (4, texts[4]), (4, texts[3])]
+    spark.createDataFrame([(*x, "x", 0.5) for x in rows], "doc_id long, text string, y string, score double").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)] + [(None, 1), (5, None)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    m = toxicity.train(*(table(spark, str(tmp_path), t) for t in ("documents", "labels")))
+    low = {}
+
+    def plain(t):
+        seen = set()
+        for w in re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (t or "").lower()):
+            if w not in low:
+                low[w] = {int(x[0]) for _, _, _, hs in toxicity.terms(pa.array([w])) for x in hs}
+            seen |= low[w]
+        f = [k for b in seen if (k := m.index[b]) >= 0]
+        z = m.bias + sum(m.w[a] for a in f) + sum(float(m.v[a] @ m.v[b]) for i, a in enumerate(f) for b in f[i + 1 :])
+        return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+    got = sorted(((x.doc_id, x.held_out, round(x.score, 9), x.predicted) for x in QUERIES["op4_toxicity"](spark, str(tmp_path)).collect()), key=repr)
+    want = [(i, i is not None and zlib.crc32(str(i).encode()) % 5 == 0, round(p := plain(t), 9), int(p >= 0.5)) for i, t in rows]
+    assert got == sorted(want, key=repr)
+    assert len(np.unique(m.index)) > 3 and toxicity.score(spark.createDataFrame([], "doc_id long, text string"), m).count() == 0
+    # held-out labels are never learned
+    labels = spark.createDataFrame([(i, int(i % 3 == 0) if zlib.crc32(str(i).encode()) % 5 else 1) for i in range(300)], "doc_id long, toxic int")
+    again = toxicity.train(table(spark, str(tmp_path), "documents"), labels)
+    assert np.array_equal(again.w, m.w) and again.bias == m.bias
+
+
 def plain_align(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i in range(len(a)):
@@ -305,6 +339,39 @@ def test_decontamination(spark):
     assert decontam.contamination(docs, bench.limit(0)).count() == 0 and decontam.contamination(docs.limit(0), bench).count() == 0
 
 
+def test_op8_equals_aligning_every_pair(spark):
+    r = random.Random(1)
+    vocab = [f"w{i}" for i in range(3000)]
+    some = lambda n: [vocab[int(3000 * r.random() ** 3)] for _ in range(n)]
+    items, texts = [some(r.randint(4, 60)) for _ in range(40)], []
+    for k in range(240):
+        d = some(r.randint(0, 150))
+        if k % 2:
+            rate, put = r.choice([0, 0.05, 0.1, 0.15, 0.2, 0.25]), []
+            for w in r.choice(items):
+                x = r.random()
+                put += [] if x < rate / 3 else [r.choice(vocab)] if x < 2 * rate / 3 else [w, r.choice(vocab)] if x > 1 - rate / 3 else [w]
+            at = r.randint(0, len(d))
+            d = d[:at] + put + d[at:]
+        texts.append(" ".join(d))
+    items, texts = [" ".join(i) for i in items] + ["w7", "w5 w2999", "W7"], [*texts, None, "", " ".join(some(30_000)) + " " + " ".join(items[0])]
+    docs, bench = frame(spark, texts), spark.createDataFrame(list(enumerate(items)) + [(0, items[0])], "item_id long, text string")
+    codes = lambda ts: [h[rows[k] : rows[k + 1]] for i, j, h, rows in decontam._terms(pa.array(ts)) for k in range(j - i)]
+    doc, item = codes(texts), codes(items)
+    want = {}
+    for i, d in enumerate(doc):
+        for t, c in enumerate(item):
+            if len(d):
+                score = decontam.align(d[None], c[None])[0][0] / (2 * len(c))
+                if score >= 0.6:
+                    want[i, t] = score
+    got = {(x.id, x.item_id): x.score for x in decontam.contamination(docs, bench, block_chars=2000).collect()}
+    assert set(got) <= set(want) and len(set(got)) >= 0.99 * len(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert any(t == 40 for _, t in got) and any(t == 42 for _, t in got)
+    long = {i for i, t in got if len(item[t]) >= 3}
+    assert {x.doc_id for x in decontam.drop_contaminated(docs, bench, min_words=3).collect()} == set(range(len(texts))) - long
+
+
 def plain_losses(split, goal):
     """Losses of every text under both models, its own counts taken off, the background scaled to the target."""
     distinct, out = len({w for t in split for w in t}), [[], []]
@@ -469,6 +536,20 @@ def test_urls(spark):
     assert {x.verdict for x in urls.judge(df.limit(1), []).collect()} == {"allow"}
 
 
+def test_op5_rules_equal_sql(spark):
+    import duckdb
+
+    from simgraph.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    rules = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+    fits = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for _, h, p in sorted(rules, key=lambda r: -len(r[1] + r[2])))
+    want = duckdb.sql(f"""SELECT page_id, host, path, CASE {fits} END AS rule FROM (SELECT page_id, lower(regexp_extract(rest, '^[^/?#]*')) AS host, regexp_extract(regexp_replace(rest, '^[^/?#]*', ''), '^[^?#]*') AS path
+      FROM (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM read_parquet('{sf}/pages.parquet')))""").fetchall()
+    got = QUERIES["op5_urls"](spark, sf).collect()
+    assert sorted(((x.page_id, x.host, x.path, x.rule) for x in got), key=repr) == sorted(want, key=repr)
+    verdict = {h + p: v for v, h, p in rules}
+    assert all(x.verdict == (verdict[x.rule] if x.rule else "block" if x.score >= 0.5 else "allow") for x in got)
 
 
 def test_url_suffixes_count_every_row(spark, monkeypatch):
