@@ -39,7 +39,7 @@ _SPLIT = regex.compile(PRETOKEN)
 _SAFE = re.compile(r" (?=[^\s\x1c-\x1f\x85])")
 BLOCK = 1 << 12
 CHUNK = 1 << 16
-CACHE = 1 << 18
+CACHE = 1 << 17
 _NONE = 1 << 60
 
 

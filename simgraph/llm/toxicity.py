@@ -61,6 +61,13 @@ class Machine:
         return out
 
 
+def _likelihood(k: np.ndarray, m: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Twice the log likelihood ratio of k of m documents against a share of ``base``."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        q = k / m
+        return 2 * (np.where(k > 0, k * np.log(q / base), 0) + np.where(m > k, (m - k) * np.log((1 - q) / (1 - base)), 0))
+
+
 def _paired(docs: list[np.ndarray], y: np.ndarray, least: int, chance: float = 0.05) -> np.ndarray:
     """Buckets of all pairs whose documents differ in the label's share from those of either member.
 
@@ -69,10 +76,12 @@ def _paired(docs: list[np.ndarray], y: np.ndarray, least: int, chance: float = 0
     for any pair of theirs to pass are left out first, which loses none.
     """
     p = y.mean()
-    df, tox = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
-    for d, t in zip(docs, y, strict=True):
+    df, tox, sign = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, U)
+    marks = np.random.default_rng(1).integers(0, 1 << 63, len(docs), dtype=np.int64).view(U)
+    for d, t, mark in zip(docs, y, marks, strict=True):
         df[d] += 1
         tox[d] += t
+        sign[d] += mark
     n = float(np.count_nonzero(df >= least))
     g = 2 * np.log(max(n * n, 2) / chance)  # the chi-square's tail is below exp(-g / 2)
     rates = tox / np.maximum(df, 1)
@@ -80,6 +89,9 @@ def _paired(docs: list[np.ndarray], y: np.ndarray, least: int, chance: float = 0
     for want, share in ((1.0, p), (0.0, 1 - p)):
         one = tox if want else df - tox
         ids = np.flatnonzero((df >= least) & (one * 2 * np.log(1 / share) >= g))
+        # a word and its prefixes often stand in the same documents, and are then looked at once
+        _, first, alike = np.unique(sign[ids], return_index=True, return_inverse=True)
+        every, ids = ids, ids[first]
         if len(ids) < 2:
             continue
         place = np.full(BUCKETS, -1, np.int32)
@@ -89,26 +101,32 @@ def _paired(docs: list[np.ndarray], y: np.ndarray, least: int, chance: float = 0
             x[i, (k := place[d])[k >= 0]] = 1
         hit = y == want
         r = rates[ids] if want else 1 - rates[ids]
-        for i in range(0, len(ids), 512):
-            k = np.zeros((min(512, len(ids) - i), len(ids) - i), np.float32)
+        other = np.flatnonzero(~hit)
+        other = other[np.argsort([-len(docs[d]) for d in other], kind="stable")]
+        good = np.zeros(len(ids), bool)
+        for i in range(0, len(ids), 256):
+            k = np.zeros((min(256, len(ids) - i), len(ids) - i), np.float32)
             for j in range(0, len(docs), 1000):
                 c = x[j : j + 1000][hit[j : j + 1000], i:].astype(np.float32)
-                k += c[:, :512].T @ c
-            base = np.clip(np.maximum(np.maximum(r[i : i + 512, None], r[None, i:]), share), 1e-6, 1 - 1e-6)
+                k += c[:, :256].T @ c
+            base = np.clip(np.maximum(np.maximum(r[i : i + 256, None], r[None, i:]), share), 1e-6, 1 - 1e-6).astype(np.float32)
             able = -2 * k * np.log(base) >= g  # with no document of the other label
             at, to = np.flatnonzero(able.any(1)), np.flatnonzero(able.any(0))
+            m, j, step = k[np.ix_(at, to)], 0, 256
+            # documents of the other label, longest first: most pairs can no longer pass after a few of them
+            while len(at) and j < len(other):
+                c = x[other[j : j + step], i:]
+                m += c[:, at].astype(np.float32).T @ c[:, to].astype(np.float32)
+                j, step = j + step, min(2 * step, 1024)
+                able = (_likelihood(k[np.ix_(at, to)], m, base[np.ix_(at, to)]) >= g) & (m * base[np.ix_(at, to)] < k[np.ix_(at, to)])
+                row, col = np.flatnonzero(able.any(1)), np.flatnonzero(able.any(0))
+                m, at, to = m[np.ix_(row, col)], at[row], to[col]
             if not len(at):
                 continue
             k, base = k[np.ix_(at, to)], base[np.ix_(at, to)]
-            m = k.copy()
-            for j in range(0, len(docs), 1000):
-                c = x[j : j + 1000][~hit[j : j + 1000], i:]
-                m += c[:, at].astype(np.float32).T @ c[:, to].astype(np.float32)
-            q = np.divide(k, m, out=np.zeros_like(k), where=m > 0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                ratio = 2 * (np.where(k > 0, k * np.log(q / base), 0) + np.where(m > k, (m - k) * np.log((1 - q) / (1 - base)), 0))
-            a, b = np.nonzero((q > base) & (m >= least) & (ratio >= g))
-            passed[ids[i + at[a]]] = passed[ids[i + to[b]]] = True
+            a, b = np.nonzero((m * base < k) & (m >= least) & (_likelihood(k, m, base) >= g))
+            good[i + at[a]] = good[i + to[b]] = True
+        passed[every[good[alike]]] = True
     return np.flatnonzero(passed)
 
 
@@ -145,15 +163,12 @@ def fit_machine(docs: list[np.ndarray], y: np.ndarray, factors: int = 8, epochs:
             part = order[i : i + 64]
             at = np.concatenate([np.arange(starts[d], starts[d + 1]) for d in part])
             d, g = np.repeat(np.arange(len(part)), starts[part + 1] - starts[part]), f[at]
-            vs = np.zeros((len(part), factors))
-            np.add.at(vs, d, v[g])
-            sq = np.zeros((len(part), factors))
-            np.add.at(sq, d, v[g] ** 2)
+            own = v[g]
+            vs, sq = (np.stack([np.bincount(d, c, len(part)) for c in x.T], 1) for x in (own, own**2))
             m = np.bincount(d, w[g], len(part)) + bias + 0.5 * (vs**2 - sq).sum(1)
             e = (1 / (1 + np.exp(-np.clip(m, -30, 30))) - y[part]) / len(part)
-            dw, dv = np.zeros_like(w), np.zeros_like(v)
-            np.add.at(dw, g, e[d])
-            np.add.at(dv, g, e[d][:, None] * (vs[d] - v[g]))
+            dw = np.bincount(g, e[d], len(w))
+            dv = np.stack([np.bincount(g, c, len(w)) for c in (e[d][:, None] * (vs[d] - own)).T], 1)
             dw, dv, db = dw + decay * w / 16, dv + decay * v / 4, e.sum()
             gw, gv, gb = gw + dw**2, gv + dv**2, gb + db**2
             w, v, bias = w - rate * dw / np.sqrt(gw), v - rate * dv / np.sqrt(gv), bias - rate * db / gb**0.5
