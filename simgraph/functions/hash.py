@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -55,17 +57,22 @@ def band_keys(hexed: Column, bands: int) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("band"), F.substring(bits, s + 1, n).alias("key")) for i, (s, n) in enumerate(band_slices(bands, 64))])
 
 
-def simhash(text: Column) -> Column:
-    """64-bit SimHash over the distinct lower-case tokens of a text, as 16 hex digits.
+def simhash(df: DataFrame, id_col: str, text_col: str, out: str = "phash") -> DataFrame:
+    """``(id_col, out)``: 64-bit SimHash over the distinct lower-case tokens of each id's text, as 16 hex digits.
 
-    A token's hash is the first half of its MD5; a bit is 1 where more tokens have 1 there than 0.
+    A token's hash is the first half of its MD5; a bit is 1 where more tokens have 1 there than 0. Two bits are counted in the
+    halves of one sum, so a text's tokens become 33 sums that are added before anything is shuffled.
     """
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([^ \n\t\r]+)")))
-    half = lambda i: F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1 + 8 * i, 8), 16, 10).cast("bigint"))
-    zero = F.expr("array_repeat(0L, 32)")
-    step = lambda acc, h: F.zip_with(acc, F.expr("sequence(31, 0, -1)"), lambda a, s: a + 2 * F.call_function("getbit", h, s).cast("bigint") - 1)
-    sums = [F.aggregate(half(i), zero, step) for i in (0, 1)]
-    return bits_to_hex(F.transform(F.concat(*sums), lambda s: s > 0))
+    tokens = F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(r"([^ \n\t\r]+)")))
+    long = df.select(id_col, F.explode_outer(tokens).alias("_t"))
+    long = long.select(id_col, F.conv(F.substring(F.md5("_t"), 1, 16), 16, -10).cast("bigint").alias("_h"))
+    pair = lambda k: F.shiftrightunsigned("_h", k).bitwiseAND(F.lit(0x0000000100000001))
+    sums = long.groupBy(id_col).agg(F.count("_h").alias("_n"), *[F.sum(pair(k)).alias(f"_s{k}") for k in range(32)])
+    above = lambda n, k: F.shiftleft(F.when(2 * n > F.col("_n"), F.lit(1)).otherwise(F.lit(0)).cast("bigint"), k)
+    low = [above(F.col(f"_s{k}").bitwiseAND(F.lit(0xFFFFFFFF)), k) for k in range(32)]
+    high = [above(F.shiftrightunsigned(f"_s{k}", 32), k) for k in range(32)]
+    half = lambda parts: F.lpad(F.lower(F.hex(reduce(lambda x, y: x.bitwiseOR(y), parts))), 8, "0")
+    return sums.select(id_col, F.concat(half(high), half(low)).alias(out))
 
 
 def asset_id(path: Column, size: Column, mtime: Column) -> Column:

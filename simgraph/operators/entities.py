@@ -25,23 +25,39 @@ def best_match(left: DataFrame, right: DataFrame, on: list[str], left_id: str, r
 def greedy_match(tracks: DataFrame, detections: DataFrame, on: list[str], min_iou: float) -> DataFrame:
     """One-to-one: tracks in order of id each take the unused detection of greatest overlap above ``min_iou``.
 
-    Only pairs that overlap enough meet, and only those of one frame share a task.
+    Only pairs that overlap enough meet. A frame's pairs are one array, sorted by track, overlap and detection, and folded
+    in the JVM: a track that is not served yet takes its first detection that is not used yet.
     """
     d = detections.select(*on, "det_id", *[F.col(c).alias(f"d_{c}") for c in ("x1", "y1", "x2", "y2")])
     t = tracks.select(*on, "track_id", "x1", "y1", "x2", "y2")
     m = t.join(d, on).withColumn("iou", iou(cols(), cols("d_"))).filter(F.col("iou") > min_iou).select(*on, "track_id", "det_id", "iou")
-    schema = m.schema
-
-    def assign(frame: pd.DataFrame) -> pd.DataFrame:
-        used, rows = set(), []
-        for _, g in frame.sort_values(["track_id", "iou", "det_id"], ascending=[True, False, True]).groupby("track_id", sort=True):
-            free = g[~g.det_id.isin(used)]
-            if len(free):
-                rows.append(free.iloc[0])
-                used.add(free.iloc[0].det_id)
-        return pd.DataFrame(rows, columns=frame.columns).astype(frame.dtypes.to_dict()) if rows else frame.head(0)
-
-    return m.groupBy(*on).applyInPandas(assign, schema)
+    pair = F.struct("track_id", (-F.col("iou")).alias("less"), "det_id")
+    per = m.groupBy(*on).agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
+    kind = m.select(F.array(pair)).schema[0].dataType.simpleString()
+    taken = F.aggregate(
+        "pairs",
+        F.array().cast(kind),
+        lambda done, p: F.when(F.exists(done, lambda d: (d["track_id"] == p["track_id"]) | (d["det_id"] == p["det_id"])), done).otherwise(F.concat(done, F.array(p))),
+    )
+    out = per.select(*on, F.explode(taken).alias("p"))
+    return out.select(*on, "p.track_id", "p.det_id", (-F.col("p.less")).alias("iou"))
+
+
+def detections_by_frame(persons: DataFrame) -> DataFrame:
+    """``(asset_id, source, detections)`` of documents (asset_id, detections): each keeps its place among all of the asset."""
+    each = persons.select("asset_id", F.posexplode("detections").alias("det_index", "d"))
+    each = each.select("asset_id", "d.source", F.struct("det_index", *[F.col(f"d.{c}").alias(c) for c in ("bbox", "confidence")]).alias("d"))
+    return each.groupBy("asset_id", "source").agg(F.array_sort(F.collect_list("d"), lambda x, y: x["det_index"] - y["det_index"]).alias("detections"))
+
+
+def at_sources(detections: DataFrame, frames: DataFrame) -> DataFrame:
+    """Detections with the frame of their asset that bears their source's name."""
+    return detections.join(frames, ["asset_id", "source"])
+
+
+def with_faces(entities: DataFrame) -> DataFrame:
+    """Entities that any frame shows a face of; only these go on to face embeddings."""
+    return entities.filter("has_face")
 
 
 def faces_by_detection(detections: DataFrame, faces: DataFrame) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.media import read_or_empty
+from .skew import ranks
+
 
 def last_wins(edits: DataFrame, id_col: str = "id", seq_col: str = "seq") -> DataFrame:
     """The edit of the greatest ``seq`` of each id."""
@@ -28,8 +33,6 @@ def overlay_full(base: DataFrame, edits: DataFrame, index: DataFrame, id_col: st
 
 def with_singletons(groups: DataFrame, index: DataFrame, id_col: str = "asset_id", value_col: str = "group_id") -> DataFrame:
     """Adds assets without a group, each under a negative id by its place among them."""
-    from .dedupe import ranks
-
     alone = ranks(index.select(id_col).join(groups.select(id_col), id_col, "left_anti"), id_col, "_r")
     return groups.select(id_col, value_col).unionByName(alone.select(id_col, (-(F.col("_r") + 1)).alias(value_col)))
 
@@ -61,6 +64,54 @@ def move(groups: DataFrame, ids: list, to: int | None, edits: DataFrame | None =
     return groups.crossJoin(F.broadcast(f)).withColumn(value_col, F.when(hit, F.col("fresh")).otherwise(F.col(value_col))).drop("fresh")
 
 
+def merge_selected(groups: DataFrame, ids: Sequence[int], edits: DataFrame | None = None, value_col: str = "group_id") -> DataFrame:
+    """All members of the groups under one fresh id."""
+    if len(set(ids)) < 2:
+        raise ValueError("merging takes two groups at least")
+    f = fresh_id(groups, *([edits] if edits is not None else []), value_col=value_col)
+    return groups.crossJoin(F.broadcast(f)).withColumn(value_col, F.when(F.col(value_col).isin(list(ids)), F.col("fresh")).otherwise(F.col(value_col))).drop("fresh")
+
+
+def edit_clusters(groups: DataFrame, action: str, *, entity_ids: Sequence = (), cluster_ids: Sequence[int] = (), source: int | None = None, target: int | None = None, id_col: str = "entity_id", value_col: str = "cluster_id") -> DataFrame:
+    """One of the edits of the review screen; what is unknown or lacks its arguments is refused before anything changes."""
+    if action == "move_entities" and entity_ids and target is not None:
+        return move(groups, list(entity_ids), target, id_col=id_col, value_col=value_col)
+    if action == "merge_selected" and len(set(cluster_ids)) > 1:
+        return merge_selected(groups, cluster_ids, value_col=value_col)
+    if action == "merge_clusters" and source is not None and target is not None:
+        return retarget(groups, source, target, value_col)
+    if action == "split_cluster" and entity_ids and source is not None:
+        return move(groups, list(entity_ids), None, id_col=id_col, value_col=value_col)
+    known = ("move_entities", "merge_selected", "merge_clusters", "split_cluster")
+    raise ValueError(f"{action} lacks arguments" if action in known else f"unknown edit: {action}")
+
+
+def changes(before: DataFrame, after: DataFrame, id_col: str = "asset_id", value_col: str = "group_id") -> DataFrame:
+    """``(id, value)`` of members whose value an edit has changed: what goes into the override table."""
+    old = before.select(id_col, F.col(value_col).alias("_old"))
+    return after.select(id_col, value_col).join(old, id_col).filter(~F.col(value_col).eqNullSafe(F.col("_old"))).drop("_old")
+
+
+class OverrideLog:
+    """An append-only table of overrides, one partition a version; version 0 is empty.
+
+    A version holds every override in force, so that undo and redo only move the place in the history.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
+        self.spark, self.path, self.schema = spark, path, schema
+
+    def read(self, version: int) -> DataFrame:
+        log = read_or_empty(self.spark, self.path, f"{self.schema}, version bigint")
+        return at_version(log, version).drop("version")
+
+    def append(self, current: int, edits: DataFrame, version: int, id_col: str = "asset_id") -> None:
+        """Write ``version``: the overrides of ``current``, where ``edits`` name no id of theirs, and the edits."""
+        kept = self.read(current).join(edits.select(id_col), id_col, "left_anti")
+        out = kept.unionByName(edits).withColumn("version", F.lit(version).cast("long"))
+        out.write.mode("append").partitionBy("version").parquet(self.path)
+
+
 def retarget(groups: DataFrame, source: int, target: int, value_col: str = "group_id") -> DataFrame:
     return groups.withColumn(value_col, F.when(F.col(value_col) == source, target).otherwise(F.col(value_col)))
 

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import cosine, distance, mean_of, transform
+from ..session import materialize, release
 from .rank import keeper_rank
+from .skew import ranks
 
 
 def group_counters(groups: DataFrame) -> DataFrame:
@@ -32,7 +34,11 @@ def group_preview(groups: DataFrame, index: DataFrame, page: DataFrame, members:
 
 
 def group_members(groups: DataFrame, index: DataFrame, group_id: int, offset: int = 0, limit: int = 12, epsilon: float = 1.5) -> DataFrame:
-    r = keeper_rank(groups.filter(F.col("group_id") == group_id), index, epsilon)
+    """One page of a group's members by rank; an unknown group is an error."""
+    mine = groups.filter(F.col("group_id") == group_id)
+    if mine.isEmpty():
+        raise KeyError(group_id)
+    r = keeper_rank(mine, index, epsilon)
     o = max(0, offset)
     return r.filter((F.col("rank") >= o) & (F.col("rank") < o + max(1, limit)))
 
@@ -43,6 +49,25 @@ def title(names, size, group_id):
     return F.when(size == 1, cut).otherwise(F.concat(F.lit("Bucket "), group_id.cast("string")))
 
 
+def named(items: DataFrame, index: DataFrame) -> DataFrame:
+    """Items with asset_type, asset_path and asset_basename of their asset: "unknown" and the id where the index lacks it."""
+    i = index.select("asset_id", F.col("type").alias("asset_type"), F.col("path").alias("asset_path"))
+    out = items.join(i, "asset_id", "left").withColumn("asset_type", F.coalesce("asset_type", F.lit("unknown")))
+    base = F.when(F.length("asset_path") > 0, F.element_at(F.split("asset_path", "/"), -1))
+    return out.withColumn("asset_basename", F.coalesce(base, F.col("asset_id").cast("string")))
+
+
+def similarity_maps(similar: DataFrame) -> DataFrame:
+    """``(entity_id, cluster_id, similarities)``: a map of modality to similarity, null where either side is missing."""
+    pairs = F.array_sort(F.collect_list(F.struct("modality", "similarity")))  # a few modalities an entity
+    return similar.groupBy("entity_id", "cluster_id").agg(F.map_from_entries(pairs).alias("similarities"))
+
+
+def asset_breakdown(members: DataFrame) -> DataFrame:
+    """``(cluster_id, asset_type, n)``: entities of each type of asset."""
+    return members.filter("cluster_id >= 0").groupBy("cluster_id", "asset_type").agg(F.count("*").alias("n"))
+
+
 def own_similarity(members: DataFrame, metric: str = "cosine", kind: str = "reciprocal", scale: float = 1.0) -> DataFrame:
     """``members`` (entity_id, cluster_id, modality, vector) with their similarity to their cluster's centroid."""
     c = mean_of(members.filter("cluster_id >= 0 and vector is not null"), ["cluster_id", "modality"], "vector", "centroid")
@@ -91,9 +116,12 @@ def suggestions(c: DataFrame, cluster_id: int, limit: int = 8) -> DataFrame:
 
 def neighbours(ids: DataFrame) -> DataFrame:
     """Previous and next cluster by id, wrapping round; one row a cluster."""
-    w = Window.orderBy("cluster_id")
-    full = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return ids.select("cluster_id", F.coalesce(F.lag("cluster_id").over(w), F.last("cluster_id").over(full)).alias("previous"), F.coalesce(F.lead("cluster_id").over(w), F.first("cluster_id").over(full)).alias("next"))
+    r = ranks(ids.select("cluster_id"), "cluster_id", "r")
+    n = r.agg(F.count("*").alias("n"))
+    at = lambda step: F.pmod(F.col("r") + step, F.col("n"))
+    out = r.crossJoin(F.broadcast(n)).select("cluster_id", at(-1).alias("p"), at(1).alias("q"))  # n is one row
+    out = out.join(r.select(F.col("cluster_id").alias("previous"), F.col("r").alias("p")), "p")
+    return out.join(r.select(F.col("cluster_id").alias("next"), F.col("r").alias("q")), "q").select("cluster_id", "previous", "next")
 
 
 def projection(c: DataFrame) -> DataFrame:
@@ -102,9 +130,10 @@ def projection(c: DataFrame) -> DataFrame:
     A component's sign makes its loading of greatest magnitude positive. One cluster stands in the middle, and a
     component without spread gives 0.
     """
-    v = c.select("cluster_id", array_to_vector("centroid").alias("v")).persist()
+    kept = materialize(c.select("cluster_id", "centroid"))
+    v = kept.select("cluster_id", array_to_vector("centroid").alias("v"))
     if v.count() < 2:
-        return c.select("cluster_id", F.lit(0.5).alias("x"), F.lit(0.5).alias("y"))
+        return kept.select("cluster_id", F.lit(0.5).alias("x"), F.lit(0.5).alias("y"))
     model = PCA(k=2, inputCol="v", outputCol="p").fit(v)
     load = model.pc.toArray()
     sign = [1.0 if load[abs(load[:, k]).argmax(), k] >= 0 else -1.0 for k in (0, 1)]
@@ -112,7 +141,9 @@ def projection(c: DataFrame) -> DataFrame:
     lim = p.agg(*[f(n).alias(f"{n}_{f.__name__}") for n in "xy" for f in (F.min, F.max)])
     s = p.crossJoin(F.broadcast(lim))
     scaled = {n: (F.col(n) - F.col(f"{n}_min")) / F.when(F.col(f"{n}_max") > F.col(f"{n}_min"), F.col(f"{n}_max") - F.col(f"{n}_min")).otherwise(1.0) for n in "xy"}
-    return s.select("cluster_id", *[e.alias(n) for n, e in scaled.items()])
+    out = materialize(s.select("cluster_id", *[e.alias(n) for n, e in scaled.items()]))
+    release(kept)
+    return out
 
 
 def in_rect(points: DataFrame, x1: float, y1: float, x2: float, y2: float) -> DataFrame:

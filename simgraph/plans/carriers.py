@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hash import simhash
+from ..session import spread
 
 ASSETS = """SELECT doc_id AS asset_id,
   CASE WHEN doc_id % 3 = 0 THEN 'video' ELSE 'image' END AS type,
@@ -84,7 +85,7 @@ class Carriers:
 
     def signatures(self) -> DataFrame:
         """``(asset_id, phash)``: SimHash of each document in the place of an image hash."""
-        return self.table("documents").select(F.col("doc_id").alias("asset_id"), simhash(F.col("text")).alias("phash"))
+        return simhash(spread(self.table("documents").select(F.col("doc_id").alias("asset_id"), "text"), "asset_id"), "asset_id", "text")
 
     def frame_hashes(self) -> DataFrame:
         h = self.signatures().withColumnRenamed("asset_id", "doc_id")

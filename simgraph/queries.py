@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import DedupeConfig
+from .config import DedupeConfig, IdentityConfig
 from .functions import bbox, hash, vector
 from .operators import align, cluster, dedupe, entities, fuse, overlay, rank, refine, simjoin, views
 from .plans import carriers as C
-from .plans.cascade import duplicate_groups
+from .plans.cascade import duplicate_groups, identities as identity_clusters
+from .sources import media
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -32,6 +33,7 @@ VIEWS = {
     "bits": "SELECT doc_id, i, sum(CASE WHEN substr('0123456789abcdef', 1, 16) IS NOT NULL AND (('0x' || substr(md5(t), 1 + CAST(i // 4 AS INTEGER), 1))::INTEGER >> CAST(3 - i % 4 AS INTEGER)) & 1 = 1 THEN 1 ELSE -1 END) AS s FROM tokens, range(64) r(i) GROUP BY doc_id, i",
     "sigs": "SELECT d.doc_id AS asset_id, coalesce(x.phash, '0000000000000000') AS phash FROM documents d LEFT JOIN (SELECT doc_id, string_agg(substr('0123456789abcdef', 1 + CAST(n AS INTEGER), 1), '' ORDER BY k) AS phash FROM (SELECT doc_id, i // 4 AS k, sum(CASE WHEN s > 0 THEN CASE i % 4 WHEN 0 THEN 8 WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 1 END ELSE 0 END) AS n FROM bits GROUP BY doc_id, i // 4) GROUP BY doc_id) x ON x.doc_id = d.doc_id",
     "dist": "SELECT a.asset_id AS a, b.asset_id AS b, CAST(bit_count(xor(('0x' || a.phash)::UBIGINT, ('0x' || b.phash)::UBIGINT)) AS INTEGER) AS distance FROM sigs a, sigs b WHERE a.asset_id < b.asset_id",
+    "hclasses": "SELECT phash, min(asset_id) AS rep FROM sigs GROUP BY phash",
     "cents": "SELECT cluster_id, list(m ORDER BY p) AS c FROM (SELECT cluster_id, p, avg(x) AS m FROM (SELECT cluster_id, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM clus WHERE cluster_id >= 0) GROUP BY cluster_id, p) GROUP BY cluster_id",
     "cpairs": "SELECT a.cluster_id, b.cluster_id AS other, list_cosine_similarity(a.c, b.c) AS similarity FROM cents a, cents b WHERE a.cluster_id <> b.cluster_id",
 }
@@ -41,6 +43,7 @@ NEEDS = {
     "bits": ["tokens"],
     "sigs": ["bits"],
     "dist": ["sigs"],
+    "hclasses": ["sigs"],
     "cents": ["clus"],
     "cpairs": ["cents"],
 }
@@ -109,9 +112,7 @@ def unresolved_after_exact(c):
 
 @query(["assets"], r"SELECT asset_id, lower(regexp_extract(path, '(\.[^.]+)$', 1)) AS suffix, CASE lower(regexp_extract(path, '(\.[^.]+)$', 1)) WHEN '.mp4' THEN 'video' WHEN '.jpg' THEN 'image' WHEN '.png' THEN 'image' END AS kind, regexp_extract(path, '([^/]*)$', 1) AS basename FROM assets")
 def media_suffix_classify(c):
-    from .sources.media import classify_suffix
-
-    return classify_suffix(c.assets()).select("asset_id", "suffix", "kind", "basename")
+    return media.classify_suffix(c.assets()).select("asset_id", "suffix", "kind", "basename")
 
 
 @query(["assets"], "SELECT asset_id FROM assets WHERE asset_id NOT IN (SELECT asset_id FROM assets WHERE size % 2 = 0)")
@@ -146,7 +147,11 @@ def grid_dhash(c):
     return c.vectors().select("id", hash.dhash(F.col("embedding"), 8, 8).alias("dhash"))
 
 
-@query()
+#: The orthonormal transform of eight values, as rows of a table, and the 64 products of a grid with it.
+_DCT = ", dct AS (SELECT k, i, cos(pi() * (2 * i + 1) * k / 16) * sqrt(CASE k WHEN 0 THEN 1 ELSE 2 END / 8.0::DOUBLE) AS w FROM range(8) a(k), range(8) b(i)), cells AS (SELECT id, CAST(p - 1 AS INTEGER) // 8 AS i, CAST(p - 1 AS INTEGER) % 8 AS j, x FROM (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM vecs)), co AS (SELECT id, r.k AS k, c.k AS l, sum(r.w * x * c.w) AS y FROM cells JOIN dct r ON r.i = cells.i JOIN dct c ON c.i = cells.j GROUP BY id, r.k, c.k), hi AS (SELECT id, k, l, y > median(y) OVER (PARTITION BY id) AS b FROM co)"
+
+
+@query(["vecs"], _DCT + " SELECT id, string_agg(substr('0123456789abcdef', 1 + CAST(n AS INTEGER), 1), '' ORDER BY g) AS phash FROM (SELECT id, (8 * k + l) // 4 AS g, sum(CASE WHEN b THEN CASE l % 4 WHEN 0 THEN 8 WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 1 END ELSE 0 END) AS n FROM hi GROUP BY id, (8 * k + l) // 4) GROUP BY id")
 def grid_phash(c):
     from .functions.raster import grid_phash as phash
 
@@ -158,16 +163,25 @@ def lsh_band_keys(c):
     return c.signatures().select("asset_id", F.explode(hash.band_keys(F.col("phash"), 3)).alias("k")).select("asset_id", "k.band", "k.key")
 
 
-@query(["sigs"], "SELECT a.asset_id AS a, b.asset_id AS b FROM sigs a, sigs b WHERE a.asset_id < b.asset_id AND (substr(a.phash, 1, 6) = substr(b.phash, 1, 6) OR substr(a.phash, 7, 5) = substr(b.phash, 7, 5) OR substr(a.phash, 12, 5) = substr(b.phash, 12, 5))")
+#: Copies of a hash are told once, as pairs with the least of them.
+_COPIES = "FROM sigs s JOIN hclasses h ON h.phash = s.phash WHERE s.asset_id <> h.rep"
+
+
+@query(["hclasses"], "SELECT a.rep AS a, b.rep AS b FROM hclasses a, hclasses b WHERE a.rep < b.rep AND (substr(a.phash, 1, 6) = substr(b.phash, 1, 6) OR substr(a.phash, 7, 5) = substr(b.phash, 7, 5) OR substr(a.phash, 12, 5) = substr(b.phash, 12, 5)) UNION ALL SELECT h.rep, s.asset_id " + _COPIES)
 def lsh_candidate_pairs(c):
     return dedupe.lsh_candidates(c.signatures(), ["phash"], 2)
 
 
-@query(["dist"], "SELECT a, b, distance FROM dist WHERE distance <= 2")
+@query(["dist", "hclasses"], "SELECT a, b, distance FROM dist WHERE distance BETWEEN 1 AND 2 AND a IN (SELECT rep FROM hclasses) AND b IN (SELECT rep FROM hclasses) UNION ALL SELECT h.rep, s.asset_id, 0 " + _COPIES)
 def hamming_near_pairs(c):
     return dedupe.hamming_pairs(c.signatures(), ["phash"], 2)
 
 
+@query(["dist"], "SELECT a, b, distance FROM dist WHERE distance <= 2")
+def hamming_all_pairs(c):
+    return dedupe.hamming_pairs(c.signatures(), ["phash"], 2, expand=True)
+
+
 _REACH = """, near AS (SELECT a, b FROM dist WHERE distance <= 2),
 both_ways AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
 reach AS (SELECT asset_id AS x, asset_id AS y FROM sigs UNION SELECT r.x, e.b FROM reach r JOIN both_ways e ON e.a = r.y),
@@ -191,11 +205,13 @@ def frame_pair_verdict(c):
     return dedupe.pair_verdict(c.frame_hashes(), ["phash"], 2, 0.04).withColumn("ratio", r6(F.col("ratio")))
 
 
-@query(["sigs"], ", one AS (SELECT '_' || CAST(asset_id AS VARCHAR) AS a, phash FROM sigs WHERE asset_id % 10 = 0)" + _FRAMES.replace(", fh AS", ", fh AS", 1).split(",\nn AS")[0] + " SELECT DISTINCT a, f.asset_id AS b FROM one JOIN fh f ON bit_count(xor(('0x' || one.phash)::UBIGINT, ('0x' || f.phash)::UBIGINT)) <= 2")
+@query(["sigs"], ", one AS (SELECT asset_id AS a, phash FROM sigs WHERE asset_id % 3 <> 0), vh AS (SELECT d.source AS b, s.phash FROM sigs s JOIN documents d ON d.doc_id = s.asset_id WHERE d.doc_id % 3 = 0) SELECT DISTINCT a, b FROM one JOIN vh ON bit_count(xor(('0x' || one.phash)::UBIGINT, ('0x' || vh.phash)::UBIGINT)) <= 2")
 def image_video_any_match(c):
-    one = c.signatures().filter("asset_id % 10 = 0").select(F.concat(F.lit("_"), F.col("asset_id").cast("string")).alias("asset_id"), F.lit(0).cast("long").alias("frame_index"), "phash")
-    v = dedupe.pair_verdict(one.unionByName(c.frame_hashes().withColumn("frame_index", F.col("frame_index").cast("long"))), ["phash"], 2, 1.0)
-    return v.filter("is_duplicate and startswith(a, '_') and not startswith(b, '_')").select("a", "b")
+    """Every image against the frames of every video; the type of an asset says what it is."""
+    s = c.sql(C.ASSETS).select("asset_id", "type").join(c.signatures(), "asset_id")
+    source = c.table("documents").select(F.col("doc_id").alias("asset_id"), "source")
+    frames = s.filter("type = 'video'").join(source, "asset_id").select(F.col("source").alias("asset_id"), "phash")
+    return dedupe.any_match(s.filter("type = 'image'"), frames, ["phash"], 2)
 
 
 # cosine joins
@@ -294,9 +310,48 @@ def keeper_rank(c):
     return rank.keeper_rank(dedupe.exact_groups(a).select("asset_id", "group_id"), a).withColumn("quality_key", r6(F.col("quality_key")))
 
 
-@query()
+_RANKED = """, k AS (SELECT a.asset_id, g.group_id, a.path, a.mtime, CASE WHEN type = 'video' AND duration > 0 THEN round_even(duration / 1.5, 0) * 1.5 ELSE 0.0 END AS duration_bucket, CAST(coalesce(width, 0) * coalesce(height, 0) AS BIGINT) AS resolution, CASE WHEN type = 'video' AND duration > 0 THEN size / duration ELSE CAST(size AS DOUBLE) END AS quality FROM g JOIN assets a ON a.asset_id = g.asset_id)
+SELECT asset_id, group_id, path, CAST(row_number() OVER w - 1 AS INTEGER) AS rank, (row_number() OVER w = 1) AS is_keeper, CAST(duration_bucket AS DOUBLE) AS duration_bucket, resolution, round(quality, 6) + 0.0::DOUBLE AS quality_key, mtime FROM k WINDOW w AS (PARTITION BY group_id ORDER BY duration_bucket DESC, resolution DESC, quality DESC, mtime DESC, asset_id)"""
+_CLOSED = """both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach AS (SELECT a AS x, a AS y FROM both_ways UNION SELECT r.x, e.b FROM reach r JOIN both_ways e ON e.a = r.y),
+g AS (SELECT x AS asset_id, min(y) AS group_id FROM reach GROUP BY x)"""
+_TIERS = """, exact AS (SELECT asset_id, min(asset_id) OVER (PARTITION BY sha256) AS lead FROM assets QUALIFY count(*) OVER (PARTITION BY sha256) > 1),
+near AS (SELECT a, b FROM dist WHERE distance <= 2 AND a NOT IN (SELECT asset_id FROM exact) AND b NOT IN (SELECT asset_id FROM exact))"""
+
+
+def _ranked(d: DataFrame) -> DataFrame:
+    return d.withColumn("quality_key", r6(F.col("quality_key")))
+
+
+@query(["assets", "dist"], _TIERS + ", edges AS (SELECT lead AS a, asset_id AS b FROM exact WHERE lead <> asset_id UNION SELECT a, b FROM near), " + _CLOSED + _RANKED, recursive=True)
 def flagship_duplicate_cascade(c):
-    return duplicate_groups(c.assets(), c.signatures(), ["phash"], DedupeConfig())
+    return _ranked(duplicate_groups(c.assets(), c.signatures(), ["phash"], DedupeConfig()))
+
+
+_SOURCES = """SELECT source AS asset_id, 'video' AS type, '/lib/' || source AS path, sum(n_chars) AS size, max(doc_id) AS mtime, 640 AS width, 480 AS height, count(*) / 2.0::DOUBLE AS duration FROM documents GROUP BY source"""
+
+
+@query(["sigs"], f", assets AS ({_SOURCES})" + """, fh AS (SELECT d.source, s.phash, s.asset_id AS f FROM sigs s JOIN documents d ON d.doc_id = s.asset_id), n AS (SELECT source, count(*) AS n FROM fh GROUP BY source),
+edges AS (SELECT a, b FROM (SELECT x.source AS a, y.source AS b, count(DISTINCT x.f) AS m FROM fh x JOIN fh y ON x.source < y.source AND bit_count(xor(('0x' || x.phash)::UBIGINT, ('0x' || y.phash)::UBIGINT)) <= 2 GROUP BY x.source, y.source) JOIN n p ON p.source = a JOIN n q ON q.source = b WHERE m / least(p.n, q.n) >= 0.04), """ + _CLOSED + _RANKED, recursive=True)
+def frame_duplicate_cascade(c):
+    """The cascade on assets of many frames each: one matching frame makes no duplicate."""
+    index = c.sql(_SOURCES).withColumn("sha256", F.sha2("asset_id", 256))
+    return _ranked(duplicate_groups(index, c.frame_hashes(), ["phash"], DedupeConfig(min_frame_match_ratio=0.04)))
+
+
+@query(["assets", "dist"], _TIERS + """, opened AS (SELECT vec_id AS id, embedding::double[] AS v FROM embeddings WHERE vec_id IN (SELECT asset_id FROM assets) AND vec_id NOT IN (SELECT asset_id FROM exact) AND vec_id NOT IN (SELECT a FROM near) AND vec_id NOT IN (SELECT b FROM near)),
+sims AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS s FROM opened a, opened b WHERE a.id <> b.id), top AS (SELECT a, b, s FROM sims WHERE s >= 0.3 QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+cl AS (SELECT least(a, b) AS a, greatest(a, b) AS b, CASE WHEN max(s) >= 0.42 THEN 'resolved' WHEN least(a, b) % 3 = 0 AND greatest(a, b) % 3 = 0 AND max(s) >= 0.3 THEN 'escalate' END AS status FROM top GROUP BY ALL),
+fr AS (SELECT e.vec_id // 3 * 3 AS id, e.vec_id % 3 AS i, e.embedding::double[] AS v FROM embeddings e),
+hits AS (SELECT a, b, y.i - x.i AS o, count(*) AS k FROM cl JOIN fr x ON x.id = a JOIN fr y ON y.id = b WHERE status = 'escalate' AND list_cosine_similarity(x.v, y.v) >= 0.1 GROUP BY ALL),
+aligned AS (SELECT a, b FROM hits GROUP BY a, b HAVING max(k) >= 2),
+edges AS (SELECT lead AS a, asset_id AS b FROM exact WHERE lead <> asset_id UNION SELECT a, b FROM near UNION SELECT a, b FROM cl WHERE status = 'resolved' UNION SELECT a, b FROM aligned), """ + _CLOSED + _RANKED, recursive=True)
+def full_duplicate_cascade(c):
+    """All four tiers: copies, hashes, vectors of assets, and sequences of three vectors for videos."""
+    cfg = DedupeConfig(floor=0.3, resolve_threshold=0.42, escalate_threshold=0.3, align_threshold=0.1, min_overlap_frames=2, min_overlap_ratio=0.1)
+    vectors = c.vectors("asset_id").join(c.sql(C.ASSETS).select("asset_id"), "asset_id", "left_semi")
+    frames = c.vectors("v").select((F.floor(F.col("v") / 3) * 3).alias("asset_id"), (F.col("v") % 3).alias("frame_index"), "embedding")
+    return _ranked(duplicate_groups(c.assets(), c.signatures(), ["phash"], cfg, vectors, frames))
 
 
 # sampling on event sequences
@@ -531,6 +586,13 @@ def refine_pipeline(c):
     return refine.refine(c.clusters(), 0.2, 0.2, 4, 0.1, 45, 0.25, 4, 0.05, 45, 0.8)
 
 
+@query()
+def identities(c):
+    """Fuse, cluster, split and refine, with thresholds that vectors without clusters of their own still meet."""
+    cfg = IdentityConfig(min_cluster_size=5, min_samples=3, max_cluster_size=50, split_threshold=0.8, merge_threshold=0.6, noise_threshold=0.2, small_threshold=0.2, small_size=4, large_size=60, small_to_large_threshold=0.3, refine_split_threshold=0.8, min_size=4, min_size_threshold=0.1)
+    return identity_clusters(c.modal(), cfg)
+
+
 # overlays and edits
 
 
@@ -586,6 +648,11 @@ def split_cluster_edit(c):
     return overlay.move(c.clusters().select("entity_id", "cluster_id"), [2, 13, 24], None, id_col="entity_id", value_col="cluster_id")
 
 
+@query(["clus"], "SELECT entity_id, CAST(CASE WHEN cluster_id IN (1, 2, 5) THEN (SELECT max(cluster_id) + 1 FROM clus) ELSE cluster_id END AS INTEGER) AS cluster_id FROM clus")
+def merge_selected_edit(c):
+    return overlay.edit_clusters(c.clusters().select("entity_id", "cluster_id"), "merge_selected", cluster_ids=[1, 2, 5])
+
+
 @query(["base", "edits"], "SELECT b.asset_id, coalesce(e.group_id, b.group_id) AS group_id FROM base b LEFT JOIN (SELECT asset_id, group_id FROM edits WHERE seq = 1) e ON e.asset_id = b.asset_id")
 def undo_redo_state(c):
     h = overlay.History()
@@ -629,12 +696,7 @@ sim AS (SELECT mem.entity_id, mem.cluster_id, mem.modality, CASE WHEN v IS NOT N
 
 
 def _members(c):
-    m = c.modal()
-    long = None
-    for k in ("clip", "body", "face"):
-        p = m.select("entity_id", F.lit(k).alias("modality"), F.col(k).alias("vector"))
-        long = p if long is None else long.unionByName(p)
-    return long.join(c.sql(C.CLUSTERS).select("entity_id", F.col("cluster_id").cast("int").alias("cluster_id")), "entity_id")
+    return fuse.presence(c.modal()).join(c.sql(C.CLUSTERS).select("entity_id", F.col("cluster_id").cast("int").alias("cluster_id")), "entity_id")
 
 
 @query(["clus"], _MEM + " SELECT entity_id, CAST(cluster_id AS INTEGER) AS cluster_id, modality, coalesce(round(s, 6) + 0.0::DOUBLE, -1.0::DOUBLE) AS similarity FROM sim")
@@ -702,10 +764,19 @@ def rectangle_selection(c):
     return views.in_rect(p, 150, 40, 50, 120).select("det_id")
 
 
-@query(["boxes"], "SELECT det_id FROM boxes WHERE x1 > 0 AND y1 > 0 AND x1 + y1 < 100")
+_LASSO = [(-3.3, -5.7), (141.2, 12.4), (90.6, 101.9), (60.3, 40.1), (20.5, 177.3)]
+
+
+def _crossings() -> str:
+    """SQL for the number of a polygon's edges to the right of (x1, y1)."""
+    edges = zip(_LASSO, [*_LASSO[1:], _LASSO[0]], strict=True)
+    return " + ".join(f"CASE WHEN ({ay} > y1) <> ({by} > y1) AND x1 < {ax} + (y1 - ({ay})) * ({bx} - ({ax})) / ({by} - ({ay})) THEN 1 ELSE 0 END" for (ax, ay), (bx, by) in edges)
+
+
+@query(["boxes"], f"SELECT det_id FROM boxes WHERE ({_crossings()}) % 2 = 1")
 def lasso_selection(c):
     p = c.boxes().select("det_id", F.col("x1").alias("x"), F.col("y1").alias("y"))
-    return views.in_polygon(p, [(0, 0), (100, 0), (0, 100)]).filter("x > 0 and y > 0 and x + y < 100").select("det_id")
+    return views.in_polygon(p, _LASSO).select("det_id")
 
 
 @query(["boxes"], "SELECT min(x1) AS x_min, max(x2) AS x_max, min(y1) AS y_min, max(y2) AS y_max FROM boxes")
@@ -713,6 +784,73 @@ def extent(c):
     return c.boxes().agg(F.min("x1").alias("x_min"), F.max("x2").alias("x_max"), F.min("y1").alias("y_min"), F.max("y2").alias("y_max"))
 
 
+# guards, and views over documents of the index
+
+
+@query(["assets"], "SELECT asset_id FROM assets WHERE coalesce(width, 0) > 0 AND coalesce(height, 0) > 0")
+def measured_assets(c):
+    return media.measured(c.sql(C.ASSETS)).select("asset_id")
+
+
+@query(["assets"], "SELECT asset_id FROM assets WHERE type <> 'video' OR duration > 0")
+def playable_assets(c):
+    return media.playable(c.sql(C.ASSETS)).select("asset_id")
+
+
+@query(["boxes"], "SELECT asset_id, source, count(*) AS n, min(i) AS first_index, CAST(sum(i) AS BIGINT) AS sum_index FROM (SELECT asset_id, source, row_number() OVER (PARTITION BY asset_id ORDER BY det_id) - 1 AS i FROM boxes) GROUP BY asset_id, source")
+def detections_by_frame(c):
+    d = F.struct("det_id", "source", F.array("x1", "y1", "x2", "y2").alias("bbox"), "confidence")
+    persons = c.boxes().groupBy("asset_id").agg(F.array_sort(F.collect_list(d)).alias("detections"))
+    f = entities.detections_by_frame(persons).select("asset_id", "source", F.explode("detections.det_index").alias("i"))
+    return f.groupBy("asset_id", "source").agg(F.count("*").alias("n"), F.min("i").cast("long").alias("first_index"), F.sum("i").alias("sum_index"))
+
+
+@query(["boxes", "faces"], _BEST + " SELECT b.asset_id, b.det_id % 5 AS track_id FROM boxes b LEFT JOIN bm ON bm.det_id = b.det_id GROUP BY b.asset_id, b.det_id % 5 HAVING count(face_id) > 0")
+def entities_with_faces(c):
+    e = entities.assemble(_faced(c).withColumn("track_id", F.col("det_id") % 5), ["asset_id", "track_id"])
+    return entities.with_faces(e).select("asset_id", "track_id")
+
+
+@query(["boxes"], "SELECT b.det_id, f.at FROM boxes b JOIN (SELECT user_id AS asset_id, event_type AS source, min(epoch_us(ts)) AS at FROM events GROUP BY ALL) f ON f.asset_id = b.asset_id AND f.source = b.source")
+def detections_at_sources(c):
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    frames = c.table("events").groupBy(F.col("user_id").alias("asset_id"), F.col("event_type").alias("source")).agg(F.min(at).alias("at"))
+    return entities.at_sources(c.boxes(), frames).select("det_id", "at")
+
+
+@query(["clus", "assets"], "SELECT c.entity_id, coalesce(a.type, 'unknown') AS asset_type, coalesce(regexp_extract(a.path, '([^/]*)$', 1), CAST(c.entity_id * 3 AS VARCHAR)) AS asset_basename FROM clus c LEFT JOIN assets a ON a.asset_id = c.entity_id * 3")
+def named_items(c):
+    items = c.clusters().select("entity_id", (F.col("entity_id") * 3).alias("asset_id"))
+    return views.named(items, c.sql(C.ASSETS)).select("entity_id", "asset_type", "asset_basename")
+
+
+@query(["clus", "assets"], "SELECT CAST(c.cluster_id AS INTEGER) AS cluster_id, coalesce(a.type, 'unknown') AS asset_type, count(*) AS n FROM clus c LEFT JOIN assets a ON a.asset_id = c.entity_id * 3 WHERE c.cluster_id >= 0 GROUP BY ALL")
+def cluster_asset_types(c):
+    items = c.clusters().select("entity_id", "cluster_id", (F.col("entity_id") * 3).alias("asset_id"))
+    return views.asset_breakdown(views.named(items, c.sql(C.ASSETS)))
+
+
+@query(["clus"], _MEM + " SELECT entity_id, count(*) AS n, coalesce(round(max(s) FILTER (modality = 'clip'), 6) + 0.0::DOUBLE, -1.0::DOUBLE) AS clip, coalesce(round(max(s) FILTER (modality = 'face'), 6) + 0.0::DOUBLE, -1.0::DOUBLE) AS face FROM sim GROUP BY entity_id")
+def similarity_by_modality(c):
+    m = views.similarity_maps(views.own_similarity(_members(c)))
+    one = lambda k: F.coalesce(r6(F.col("similarities")[k]), F.lit(-1.0)).alias(k)
+    return m.select("entity_id", F.size("similarities").cast("long").alias("n"), one("clip"), one("face"))
+
+
+@query(["clus"], _MEM + " SELECT entity_id, CAST(cluster_id AS INTEGER) AS cluster_id, CAST(row_number() OVER (ORDER BY round(s, 9) DESC, entity_id) - 1 AS INTEGER) AS place FROM sim WHERE modality = 'clip' AND cluster_id = 3")
+def cluster_detail(c):
+    s = views.own_similarity(_members(c).filter("modality = 'clip'").withColumn("modality", F.lit("fused")))
+    return views.cluster_detail(s.withColumn("similarity", F.round("similarity", 9)), 3).select("entity_id", "cluster_id", "place")
+
+
+@query(["effective"], """, page AS (SELECT group_id FROM effective GROUP BY group_id HAVING count(*) > 1 ORDER BY count(*) DESC, group_id LIMIT 5),
+k AS (SELECT a.*, e.group_id, CASE WHEN type = 'video' AND duration > 0 THEN round_even(duration / 1.5, 0) * 1.5 ELSE 0.0 END AS bucket, coalesce(width, 0) * coalesce(height, 0) AS res, CASE WHEN type = 'video' AND duration > 0 THEN size / duration ELSE size END AS q FROM effective e JOIN assets a ON a.asset_id = e.asset_id WHERE e.group_id IN (SELECT group_id FROM page))
+SELECT asset_id, group_id, rank FROM (SELECT asset_id, group_id, CAST(row_number() OVER w - 1 AS INTEGER) AS rank FROM k WINDOW w AS (PARTITION BY group_id ORDER BY bucket DESC, res DESC, q DESC, mtime DESC, asset_id)) WHERE rank < 4""")
+def group_preview(c):
+    g = _effective(c)
+    return views.group_preview(g, c.sql(C.ASSETS), views.groups_page(g, 0, 5), 4).select("asset_id", "group_id", "rank")
+
+
 # the same shapes over the large tables
 
 

@@ -45,6 +45,11 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out by ``keys`` if it is stored in fewer files than there are cores to read them, else as it is."""
+    return df.repartition(*keys) if len(df.inputFiles()) < df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def _scratch_root(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/simgraph/{spark.sparkContext.applicationId}"
 

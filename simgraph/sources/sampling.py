@@ -19,7 +19,10 @@ def _spans(events: DataFrame) -> DataFrame:
 
 
 def sample_sparse(events: DataFrame, max_frames: int, max_rate: float) -> DataFrame:
-    """First row of each interval; an asset's interval gives at most ``max_frames`` and ``max_rate`` a second."""
+    """First row of each interval; an asset's interval gives at most ``max_frames`` and ``max_rate`` a second.
+
+    An asset without a positive duration has one row, its first.
+    """
     return _sample(events, F.greatest(F.col("dur") / max_frames, F.lit(1.0 / max_rate)), _spans(events))
 
 
