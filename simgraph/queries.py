@@ -341,7 +341,8 @@ def frame_duplicate_cascade(c):
 
 @query(["assets", "dist"], _TIERS + """, opened AS (SELECT vec_id AS id, embedding::double[] AS v FROM embeddings WHERE vec_id IN (SELECT asset_id FROM assets) AND vec_id NOT IN (SELECT asset_id FROM exact) AND vec_id NOT IN (SELECT a FROM near) AND vec_id NOT IN (SELECT b FROM near)),
 sims AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS s FROM opened a, opened b WHERE a.id <> b.id), top AS (SELECT a, b, s FROM sims WHERE s >= 0.3 QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
-cl AS (SELECT least(a, b) AS a, greatest(a, b) AS b, CASE WHEN max(s) >= 0.42 THEN 'resolved' WHEN least(a, b) % 3 = 0 AND greatest(a, b) % 3 = 0 AND max(s) >= 0.3 THEN 'escalate' END AS status FROM top GROUP BY ALL),
+und AS (SELECT least(a, b) AS a, greatest(a, b) AS b, max(s) AS s FROM top GROUP BY ALL),
+cl AS (SELECT a, b, CASE WHEN s >= 0.42 THEN 'resolved' WHEN a % 3 = 0 AND b % 3 = 0 AND s >= 0.3 THEN 'escalate' END AS status FROM und),
 fr AS (SELECT e.vec_id // 3 * 3 AS id, e.vec_id % 3 AS i, e.embedding::double[] AS v FROM embeddings e),
 hits AS (SELECT a, b, y.i - x.i AS o, count(*) AS k FROM cl JOIN fr x ON x.id = a JOIN fr y ON y.id = b WHERE status = 'escalate' AND list_cosine_similarity(x.v, y.v) >= 0.1 GROUP BY ALL),
 aligned AS (SELECT a, b FROM hits GROUP BY a, b HAVING max(k) >= 2),
