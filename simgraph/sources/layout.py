@@ -46,7 +46,8 @@ class Layout:
 
     def write(self, df: DataFrame, table: str) -> None:
         """Replace the table; columns are put into the schema's order, and a missing one is an error."""
-        df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in TABLES[table][1]]).write.mode("overwrite").parquet(self.path(table))
+        schema = df.sparkSession.createDataFrame([], TABLES[table][1]).schema
+        df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in schema]).write.mode("overwrite").parquet(self.path(table))
 
     def refresh(self, spark: SparkSession, *tables: str) -> dict[str, DataFrame]:
         """Fresh reads of the tables, whatever has been read of them before."""

@@ -57,9 +57,13 @@ def test_banded_join_loses_no_pair(spark):
     base = [int(x) for x in r.integers(0, 1 << 63, 40)]
     near = [base[0] ^ sum(1 << int(b) for b in r.choice(64, k, replace=False)) for k in (0, 1, 2, 3) for _ in range(3)]
     h = [(i, f"{v:016x}") for i, v in enumerate(base + near)]
-    got = {(x.a, x.b) for x in dedupe.hamming_pairs(spark.createDataFrame(h, "asset_id long, phash string"), ["phash"], 2).collect()}
+    df = spark.createDataFrame(h, "asset_id long, phash string")
+    got = {(x.a, x.b) for x in dedupe.hamming_pairs(df, ["phash"], 2, expand=True).collect()}
     want = {(i, j) for i, a in h for j, b in h if i < j and (int(a, 16) ^ int(b, 16)).bit_count() <= 2}
     assert got == want and want
+    lead = {v: min(i for i, w in h if w == v) for _, v in h}
+    few = {(x.a, x.b) for x in dedupe.hamming_pairs(df, ["phash"], 2).collect()}
+    assert few == {(i, j) for i, j in want if lead[dict(h)[i]] == i and (lead[dict(h)[j]] in (i, j))}
 
 
 def test_wide_thresholds_use_bits(spark):
@@ -87,9 +91,21 @@ def test_density_clusters(spark):
     assert {got[i] for i in range(20)} == {0} and {got[i] for i in range(20, 40)} == {1} and {got[i] for i in range(40, 60)} == {2}
 
 
-def test_sequential_fold():
-    assert refine.fold([(1, 2), (2, 3)], [1, 2, 3]) == {1: 3, 2: 3, 3: 3}
-    assert refine.fold([(1, 2), (2, 1)], [1, 2]) == {1: 1, 2: 1}
+def plain_fold(decisions):
+    """Moves made one after another, each on every label that then equals its source."""
+    now = {c: c for c, _, _ in decisions}
+    for c, t, _ in sorted(decisions, key=lambda d: (-d[2], d[0])):
+        now = {k: t if v == c else v for k, v in now.items()}
+    return now
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_moves_are_followed_in_order(spark, seed):
+    r = np.random.default_rng(seed)
+    d = [(c, int(t), int(r.integers(1, 5))) for c, t in enumerate(r.integers(0, 40, 30)) if c != t]
+    d += [(100, 101, 3), (101, 102, 2), (102, 103, 1), (103, 100, 1)]
+    got = {x.cluster_id: x.new_id for x in refine.followed(spark.createDataFrame(d, "cluster_id long, target long, size long")).collect()}
+    assert got == plain_fold(d)
 
 
 def test_history():
@@ -154,7 +170,7 @@ def test_sources_and_streaming(spark, tmp_path):
     assert dedupe.exact_groups(found).count() == 2
     assert [list(r.embedding) for r in media.read_vectors(spark, str(tmp_path / "m")).collect()] == [[0.0, 1.0, 2.0]]
     assert media.read_or_empty(spark, str(tmp_path / "none"), "a int").count() == 0
-    p = media.probe(found.select("path"), lambda x: {"width": 4, "height": 2, "fps_num": 30.0, "fps_den": 0.0, "format_duration": 1.5} if x.endswith("mp4") else 1 / 0)
+    p = media.probe(found.select("path"), lambda x: {"width": 4, "height": 2, "fps_num": 30.0, "fps_den": 0.0, "format_duration": 1.5} if x.endswith("mp4") else {"width": int("no number")})
     r = p.filter("width is not null").first()
     assert r.fps is None and r.duration == 1.5 and p.filter("width is null").count() == 2
     img = spark.createDataFrame([("1", b"x"), ("2", b"y")], "id string, content binary")
