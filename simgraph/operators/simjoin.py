@@ -67,50 +67,10 @@ def topk_between(left: DataFrame, right: DataFrame, k: int, floor: float, id_col
         n = their.count()
         if not n:
             return s.result(mine.limit(0).select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("similarity")))
-        some = max(1, min(PIVOTS, -(-n // tile)))
-        # bounded by PIVOTS vectors
-        pivots = _matrix(their.orderBy(F.xxhash64("id"), "id").limit(some).select("v").toArrow()["v"])
-
-        def angles(col: pa.Array) -> np.ndarray:
-            m = _matrix(col)
-            a = np.arccos(np.clip(m @ pivots.T, -1, 1))
-            a[~m.any(1)] = np.pi / 2  # a zero vector is at right angles to all
-            return a
-
-        def deal(batches):
-            for b in batches:
-                if b.num_rows:
-                    a = angles(b.column(1))
-                    at = a.argmin(1)
-                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at.astype(np.int32)), pa.array(a[np.arange(len(at)), at])], ["id", "v", "pivot", "angle"])
-
-        dealt = s.table(their.mapInArrow(deal, "id long, v array<double>, pivot int, angle double"))
-        sizes = dealt.groupBy("pivot").agg(F.max("angle").alias("far"), F.count("*").alias("n"), F.max(~F.exists("v", lambda x: x != 0)).alias("zero")).collect()  # a row a pivot
-        reach = np.full(len(pivots), -np.inf)
-        tiles = np.zeros(len(pivots), np.int64)
-        for r in sizes:
-            # nothing is known about where a zero vector lies, and it is similar by 0 to all
-            reach[r.pivot], tiles[r.pivot] = (np.inf if r.zero and floor <= 0 else r.far), -(-r.n // tile)
-        wide = np.arccos(np.clip(floor, -1, 1)) if floor > -1 else np.pi
-
-        def visit(batches):
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                near = angles(b.column(1)) <= wide + reach + 1e-9
-                near[~_matrix(b.column(1)).any(1)] = floor <= 0
-                row, at = np.nonzero(near & (tiles > 0))
-                m = tiles[at]
-                row, at, t = np.repeat(row, m), np.repeat(at, m), np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                for i in range(0, len(row), 4096):
-                    part = slice(i, i + 4096)
-                    yield pa.RecordBatch.from_arrays([pa.array(at[part].astype(np.int32)), pa.array(t[part].astype(np.int32)), *(b.column(c).take(pa.array(row[part])) for c in (0, 1))], ["pivot", "tile", "id", "v"])
-
-        going = kinds.select(F.col("rep").alias("id"), "v").mapInArrow(visit, "pivot int, tile int, id long, v array<double>")
         parts = max(1, -(-kinds.count() // VISITORS))
+        going, waiting = _dealt(s, kinds.select(F.col("rep").alias("id"), "v"), their, n, floor, tile)
         going = going.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-        count = F.element_at(F.lit([int(x) for x in tiles]), F.col("pivot") + 1)
-        waiting = dealt.select("pivot", F.pmod(F.xxhash64("id"), count).cast("int").alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "id", "v")
+        waiting = waiting.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
         out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
 
         def meet(_, a, b):
@@ -135,6 +95,55 @@ def topk_between(left: DataFrame, right: DataFrame, k: int, floor: float, id_col
         return s.result(_best(pairs.filter("a <> b") if same else pairs, k))
 
 
+def _dealt(s: Scratch, mine: DataFrame, their: DataFrame, n: int, floor: float, tile: int) -> tuple[DataFrame, DataFrame]:
+    """(visitors, tiles) of (id, v), both under the (pivot, tile) where they meet; ``their`` has ``n`` rows."""
+    one = [F.lit(0).alias("pivot"), F.lit(0).alias("tile"), "id", "v"]
+    if n <= tile:
+        return mine.select(*one), their.select(*one)
+    some = min(PIVOTS, -(-n // tile))
+    # bounded by PIVOTS vectors
+    pivots = _matrix(their.orderBy(F.xxhash64("id"), "id").limit(some).select("v").toArrow()["v"])
+
+    def angles(col: pa.Array) -> np.ndarray:
+        m = _matrix(col)
+        a = np.arccos(np.clip(m @ pivots.T, -1, 1))
+        a[~m.any(1)] = np.pi / 2  # a zero vector is at right angles to all
+        return a
+
+    def deal(batches):
+        for b in batches:
+            if b.num_rows:
+                a = angles(b.column(1))
+                at = a.argmin(1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at.astype(np.int32)), pa.array(a[np.arange(len(at)), at])], ["id", "v", "pivot", "angle"])
+
+    dealt = s.table(their.mapInArrow(deal, "id long, v array<double>, pivot int, angle double"))
+    sizes = dealt.groupBy("pivot").agg(F.max("angle").alias("far"), F.count("*").alias("n"), F.max(~F.exists("v", lambda x: x != 0)).alias("zero")).collect()  # a row a pivot
+    reach = np.full(len(pivots), -np.inf)
+    tiles = np.zeros(len(pivots), np.int64)
+    for r in sizes:
+        # nothing is known about where a zero vector lies, and it is similar by 0 to all
+        reach[r.pivot], tiles[r.pivot] = (np.inf if r.zero and floor <= 0 else r.far), -(-r.n // tile)
+    wide = np.arccos(np.clip(floor, -1, 1)) if floor > -1 else np.pi
+
+    def visit(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            near = angles(b.column(1)) <= wide + reach + 1e-6
+            near[~_matrix(b.column(1)).any(1)] = floor <= 0
+            row, at = np.nonzero(near & (tiles > 0))
+            m = tiles[at]
+            row, at, t = np.repeat(row, m), np.repeat(at, m), np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            for i in range(0, len(row), 4096):
+                part = slice(i, i + 4096)
+                yield pa.RecordBatch.from_arrays([pa.array(at[part].astype(np.int32)), pa.array(t[part].astype(np.int32)), *(b.column(c).take(pa.array(row[part])) for c in (0, 1))], ["pivot", "tile", "id", "v"])
+
+    going = mine.mapInArrow(visit, "pivot int, tile int, id long, v array<double>")
+    count = F.element_at(F.lit([int(x) for x in tiles]), F.col("pivot") + 1)
+    return going, dealt.select("pivot", F.pmod(F.xxhash64("id"), count).cast("int").alias("tile"), "id", "v")
+
+
 def topk_blocks(vectors: DataFrame, k: int, floor: float, id_col: str = "id", vector_col: str = "embedding", block_rows: int = TILE) -> DataFrame:
     """The same rows as ``topk_directed`` by matrix products of tiles, see ``topk_between``."""
     return topk_between(vectors, vectors, k, floor, id_col, vector_col, same=True, tile=block_rows)
