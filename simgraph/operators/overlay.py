@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.media import read_or_empty
-from .skew import ranks
+from .skew import rank_within, ranks
 
 
 def last_wins(edits: DataFrame, id_col: str = "id", seq_col: str = "seq") -> DataFrame:
@@ -151,4 +151,4 @@ def at_version(log: DataFrame, version: int) -> DataFrame:
 
 
 def rank_in_group(groups: DataFrame, order: list, value_col: str = "group_id") -> DataFrame:
-    return groups.withColumn("rank", F.row_number().over(Window.partitionBy(value_col).orderBy(*order)) - 1)
+    return rank_within(groups, value_col, order)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .skew import rank_within
+
 
 def duration_bucket(epsilon: float) -> Column:
     """Duration rounded half-even to steps of ``epsilon``; 0 for images and unknown durations."""
@@ -24,6 +26,6 @@ def resolution() -> Column:
 def keeper_rank(groups: DataFrame, index: DataFrame, epsilon: float = 1.5) -> DataFrame:
     """Members of each group from the best to keep: longest, largest, highest quality, newest, least id."""
     g = groups.join(index, "asset_id").withColumns({"duration_bucket": duration_bucket(epsilon), "resolution": resolution(), "quality_key": quality_key()})
-    w = Window.partitionBy("group_id").orderBy(F.desc("duration_bucket"), F.desc("resolution"), F.desc("quality_key"), F.desc("mtime"), "asset_id")
-    r = F.row_number().over(w) - 1
-    return g.select("asset_id", "group_id", "path", r.alias("rank"), (r == 0).alias("is_keeper"), "duration_bucket", "resolution", "quality_key", "mtime")
+    g = g.select("asset_id", "group_id", "path", "duration_bucket", "resolution", "quality_key", "mtime")
+    r = rank_within(g, "group_id", [F.desc("duration_bucket"), F.desc("resolution"), F.desc("quality_key"), F.desc("mtime"), "asset_id"])
+    return r.select("asset_id", "group_id", "path", "rank", (F.col("rank") == 0).alias("is_keeper"), "duration_bucket", "resolution", "quality_key", "mtime")

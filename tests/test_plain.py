@@ -143,8 +143,7 @@ def plain_refine(x, label, merge, noise, small_most, small, large, small_to_larg
     return label
 
 
-@pytest.mark.parametrize("seed", [6, 7])
-def test_refine_equals_plain(spark, seed):
+def test_refine_equals_plain(spark, seed=6):
     x = blobs(seed, 110)
     r = np.random.default_rng(seed)
     label = np.where(r.random(len(x)) < 0.15, -1, np.where(r.random(len(x)) < 0.1, 20 + np.arange(len(x)) // 2, r.integers(0, 9, len(x))))
@@ -221,6 +220,21 @@ def test_greedy_match_equals_plain(spark):
     assert got == want and len(want) > 10
 
 
+def test_tracks_are_assigned_at_least_cost():
+    from itertools import permutations
+
+    r = np.random.default_rng(14)
+    for _ in range(200):
+        n, m = r.integers(0, 5, 2)
+        cost, limit = r.random((n, m)), 0.6
+        got = entities._assign(cost, limit)
+        assert len({i for i, _ in got}) == len({j for _, j in got}) == len(got) and all(cost[i, j] <= limit for i, j in got)
+        # a row without partner costs the limit twice, as its match would have saved both sides theirs
+        price = lambda pairs: sum(cost[i, j] for i, j in pairs) + limit * (n + m - 2 * len(pairs))  # noqa: B023, E731
+        every = ([(i, j) for i, j in zip(range(n), p, strict=True) if j < m and cost[i, j] <= limit] for p in permutations(range(m + n), n))
+        assert abs(price(got) - min(map(price, every), default=0.0)) < 1e-9
+
+
 def test_projection_equals_plain(spark):
     x = np.random.default_rng(11).normal(size=(30, 6)) * [5, 3, 1, 1, 1, 1]
     c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "cluster_id int, centroid array<double>")
@@ -243,6 +257,14 @@ def test_lookups_and_numbers(spark):
     assert [x[0] for x in got] == list(range(300)) and [x[1:] for x in got] == sorted(x[1:] for x in got)
 
 
+def test_places_in_large_groups(spark, monkeypatch):
+    df = spark.createDataFrame([(k % 3 if k < 60 else 9, (k * 7) % 50, k) for k in range(200)], "g int, x int, id int")
+    order = [F.desc("x"), "id"]
+    want = sorted(map(tuple, skew.rank_within(df, "g", order).select("g", "x", "id", "rank").collect()))
+    monkeypatch.setattr(skew, "LARGE", 10)
+    assert sorted(map(tuple, skew.rank_within(df, "g", order).select("g", "x", "id", "rank").collect())) == want
+
+
 def test_sources_know_images(spark, tmp_path):
     png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + struct.pack(">II", 30, 20)
     jpg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x0b\x08" + struct.pack(">HH", 21, 31) + b"\0" * 9
