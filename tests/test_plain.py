@@ -225,7 +225,7 @@ def test_tracks_are_assigned_at_least_cost():
 
     r = np.random.default_rng(14)
     for _ in range(200):
-        n, m = r.integers(0, 5, 2)
+        n, m = map(int, r.integers(0, 5, 2))
         cost, limit = r.random((n, m)), 0.6
         got = entities._assign(cost, limit)
         assert len({i for i, _ in got}) == len({j for _, j in got}) == len(got) and all(cost[i, j] <= limit for i, j in got)
