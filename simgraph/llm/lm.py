@@ -138,7 +138,13 @@ def differences(docs: DataFrame, block_bytes: int | None = None) -> DataFrame:
         out.append((r, -1, b"", b"", int(word.sum()), int(a[word].sum()), int(b[word].sum())))
         return pa.table([list(c) for c in zip(*out, strict=True)], schema=sums)
 
-    asked = dealt.drop("ids").groupBy("block").applyInArrow(count, "r int, block long, k binary, a binary, b binary")
+    def ask(batches):
+        """A row is a block, so blocks are counted where they lie."""
+        for b in batches:
+            for i in range(b.num_rows):
+                yield from count(pa.Table.from_batches([b.slice(i, 1)])).to_batches()
+
+    asked = dealt.drop("ids").mapInArrow(ask, "r int, block long, k binary, a binary, b binary")
     told = scratch.table(asked.groupBy("r").applyInArrow(add, "r int, block long, a binary, b binary, n long, na long, nb long"))
     distinct, *totals = (x or 0 for x in told.filter("block = -1").agg(F.sum("n"), F.sum("na"), F.sum("nb")).first())
 
