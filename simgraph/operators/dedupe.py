@@ -125,6 +125,7 @@ def pair_verdict(frames: DataFrame, columns: Sequence[str], thresholds: Threshol
     if not 0 < ratio <= 1:
         raise ValueError("ratio must be in (0, 1]")
     with Scratch() as s:
+        frames = s.table(frames.select(id_col, *columns))  # hashes are dear
         f = frames.filter(F.coalesce(*columns).isNotNull()).withColumn("_same", _same(columns))
         f = s.table(f.groupBy(id_col, "_same", *columns).agg(F.count("*").alias("k")))
         total = frames.groupBy(id_col).agg(F.count("*").alias("n"))

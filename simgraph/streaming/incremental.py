@@ -12,12 +12,16 @@ from ..sources.media import read_or_empty
 
 
 def run_incremental(stream: DataFrame, stage: Callable[[DataFrame], DataFrame], output: str, checkpoint: str, id_col: str = "asset_id", once: bool = True) -> StreamingQuery:
-    """Run ``stage`` on rows whose id has no output yet and append what it gives; a retried batch adds nothing twice."""
+    """Run ``stage`` on rows whose id has no output yet and append what it gives; a retried batch adds nothing twice.
+
+    Of the output only ids are read, and only the row groups whose range of ids meets the batch's.
+    """
     spark = stream.sparkSession
     schema = stage(spark.createDataFrame([], stream.schema)).schema
 
     def batch(df: DataFrame, _: int) -> None:
-        done = read_or_empty(spark, output, schema).select(id_col)
+        lo, hi = df.agg(F.min(id_col), F.max(id_col)).first()
+        done = read_or_empty(spark, output, schema).select(id_col).filter(F.col(id_col).between(F.lit(lo), F.lit(hi)))
         stage(df.dropDuplicates([id_col]).join(done, id_col, "left_anti")).write.mode("append").parquet(output)
 
     w = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
