@@ -18,7 +18,7 @@ def area_weights(n: int, m: int) -> np.ndarray:
 
 def resize(x: np.ndarray, height: int, width: int) -> np.ndarray:
     a, b = area_weights(x.shape[0], height), area_weights(x.shape[1], width)
-    return np.einsum("ih,hw...,jw->ij...", a, x.astype(float), b)
+    return np.einsum("ih,hw...,jw->ij...", a, x.astype(float), b, optimize=True)
 
 
 def grey(bgr: np.ndarray) -> np.ndarray:
