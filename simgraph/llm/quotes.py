@@ -33,6 +33,10 @@ RUN, SPAN = 4, 4
 LONG = RUN + SPAN - 1
 
 
+#: What begins with as many words as a passage needs to have units inside.
+_MANY = re.compile(rf"[\W_]*(?:[^\W_]+[\W_]+){{{LONG - 1}}}[^\W_]")
+
+
 def normalise(passage: str) -> str:
     """Lower case, letters and digits only, one space between words."""
     return _GAPS.sub(" ", passage.lower()).strip()
@@ -66,21 +70,26 @@ def _number(part: str) -> int:
 
 def short_units(own: str) -> set[int]:
     """Numbers of the short parts of a text: all of it, its paragraphs, lines and sentences."""
-    parts = [own, *_PARAGRAPHS.split(own), *own.split("\n"), *_PARTS.split(own)]
-    return {_number(s) for s in {normalise(p) for p in parts} if s and s.count(" ") < LONG - 1}
+    parts = {own, *_PARAGRAPHS.split(own), *own.split("\n"), *_PARTS.split(own)}
+    return {_number(s) for s in {normalise(p) for p in parts if not _MANY.match(p)} if s and s.count(" ") < LONG - 1}
 
 
 def run_units(texts: list[str]) -> list[set[int]]:
     """Numbers of the runs of words that stand for each normalised text; none for those of fewer than ``LONG`` words."""
-    out: list[set[int]] = [set() for _ in texts]
     _, _, h, rows = words(*buffers(pa.array([t.encode("utf-8", "replace").decode() for t in texts], pa.string())))
     g, firsts = grams(h, rows, RUN)
     if len(g) >= SPAN:
         row = np.repeat(np.arange(len(texts)), np.diff(firsts))
         least, ok = sliding_min(g, SPAN).view(np.int64), row[: len(g) - SPAN + 1] == row[SPAN - 1 :]
-        for r, u in set(zip(row[: len(g) - SPAN + 1][ok].tolist(), least[ok].tolist(), strict=True)):
-            out[r].add(u)
-    return out
+        row, least = row[: len(g) - SPAN + 1][ok], least[ok]
+        order = np.lexsort((least, row))
+        row, least = row[order], least[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (least[1:] != least[:-1])
+        row, least = row[new], least[new]
+        ends = np.searchsorted(row, np.arange(len(texts) + 1)).tolist()
+        return [set(least[i:j].tolist()) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+    return [set() for _ in texts]
 
 
 def units_of(parsed: list[tuple[str, list[tuple[int, str]]]]) -> tuple[list[set[int]], list[list[tuple[int, set[int]]]]]:
