@@ -9,7 +9,9 @@ of its members, and so on until all are small; each time more tokens are sampled
 bounded share of pairs, which the number of runs makes up for. A bucket that splitting does not shrink is a mass of
 near copies and is compared tile by tile. Buckets and tiles are compared by brute force on their sketches.
 
-Where the similar pairs of a bucket are few, each is kept; where they are many, their members are a group. Pairs and
+Where the similar pairs of a bucket are few, each is kept; where they are many, their members are a group. Near copies meet
+in all the buckets they chose, so one larger bucket of each set is compared, in parts, before all of them, which then tell only what
+the groups found so far do not; a bucket inside one group is left out. Pairs and
 groups are then verified with the whole n-gram sets: groups tile by tile, all their pairs counted once, other
 pairs one by one, unless all that links reach is small enough to meet at once. Equal sets are one class from the start
 and never expanded.
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import connected_components, roots
+from ..operators.graph import _contracted, connected_components, roots
 from ..operators.skew import lookup, ranks
 from ..session import Scratch, materialize
 from ._words import U, buffers, grams, mix, slices, words
@@ -114,8 +116,12 @@ def _similar(s: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
     return out
 
 
-def pairs_and_groups(ok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(i, j, dense)`` from a symmetric matrix of similar pairs: single pairs, or the stars of what is dense."""
+def pairs_and_groups(ok: np.ndarray, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(i, j, dense)`` from a symmetric matrix of similar pairs: single pairs, or the stars of what is dense.
+
+    ``group`` names the group that each is known to be in: pairs inside one are left out, and a star has one
+    member of each group.
+    """
     n = len(ok)
     i, j = np.nonzero(np.triu(ok, 1))
     if not len(i):
@@ -124,6 +130,10 @@ def pairs_and_groups(ok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     dense = np.bincount(root[i], minlength=n) > DENSE * np.bincount(root, minlength=n)
     single = ~dense[root[i]]
     hung = np.flatnonzero(dense[root] & (root != np.arange(n)))
+    if group is not None:
+        single &= group[i] != group[j]
+        hung = hung[group[hung] != group[root[hung]]]
+        hung = hung[np.unique(np.stack([root[hung], group[hung]], 1), axis=0, return_index=True)[1]]
     kind = np.repeat([False, True], [int(single.sum()), len(hung)])
     return np.concatenate([i[single], hung]), np.concatenate([j[single], root[hung]]), kind
 
@@ -282,8 +292,9 @@ def _classes(s: Scratch, rows: DataFrame, n: int, similarity: float, recall: flo
 
 
 def _edges(s: Scratch, reps: DataFrame, similarity: float) -> DataFrame:
-    """``(a, b, dense)``: pairs whose sketches agree in a bucket they chose together, or stars of groups of such."""
+    """``(a, b, dense)``: pairs whose sketches agree in a bucket they chose together, or what connects groups of such."""
     schema = "a long, b long, dense boolean"
+    parts: list[DataFrame] = []
 
     def compare(batches):
         for t in grouped(batches, 0):
@@ -298,21 +309,42 @@ def _edges(s: Scratch, reps: DataFrame, similarity: float) -> DataFrame:
                     place = _bytes2d(b.column(3), SKETCH).astype(U) * U(SKETCH) + np.arange(SKETCH, dtype=U)
                     token = mix(k.view(U)[:, None] * U(0x9E3779B97F4A7C15) + place, 6 + 2 * depth)
                 r, c = np.nonzero(mix(token, 7 + 2 * depth).astype(np.float64) / 2.0**64 < tokens / SKETCH)
-                yield pa.RecordBatch.from_arrays([pa.array(token[r, c].view(np.int64)), *(b.column(x).take(pa.array(r)) for x in (1, 2, 3, 4))], ["bucket", "c", "n", "sketch", "above"])
+                yield pa.RecordBatch.from_arrays([pa.array(token[r, c].view(np.int64)), *(b.column(x).take(pa.array(r)) for x in (1, 2, 3, 4, 5))], ["bucket", "c", "n", "sketch", "g", "above"])
 
         return split
 
     def met(rows: DataFrame, total: int) -> DataFrame:
-        """Rows whose bucket has two of them at least, with the number of its rows."""
-        size = rows.groupBy("bucket").agg(F.count("*").alias("count")).filter("count > 1")
+        """Rows whose bucket has two of them at least, not all of one group, with the number of its rows."""
+        size = rows.groupBy("bucket").agg(F.count("*").alias("count"), (F.min("g") < F.max("g")).alias("mixed")).filter("mixed").drop("mixed")
         return lookup(rows, size.withColumn("weight", F.col("count")), ["bucket"], "weight", total)
 
     def meet(rows: DataFrame) -> DataFrame:
-        return rows.select("bucket", "c", "n", "sketch").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare, schema)
-
-    picked = s.table(reps.select("c", F.explode("tokens").alias("bucket")))
-    cur = s.table(met(picked, picked.count()).join(reps.select("c", "n", "sketch"), "c").select("bucket", "c", "n", "sketch", "count", F.lit(1 << 62).alias("above")))
+        return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare, schema)
+
+    def known(rows: DataFrame, edges: DataFrame) -> DataFrame:
+        """``rows``, of which g names the group that dense ``edges`` connect c with."""
+        dense = edges.filter("dense")
+        few = dense.count() <= BROADCAST_ROWS
+        if few:
+            # one step of contraction holds all, and a root names itself
+            groups = F.broadcast(s.table(_contracted(dense.select(F.col("a").alias("u"), F.col("b").alias("v")).coalesce(1))).toDF("c", "now"))
+        else:
+            groups = s.adopt(connected_components(dense, "a", "b")).toDF("c", "now")
+        out = rows.join(groups, "c", "left").withColumn("g", F.coalesce("now", "g")).drop("now")
+        return out if few else s.table(out)
+
+    alone = F.lit(-1).alias("tile")
+    picked = s.table(reps.select("c", F.explode("tokens").alias("bucket"), F.col("c").alias("g")))
+    cur = s.table(met(picked, picked.count()).join(reps.select("c", "n", "sketch"), "c").select("bucket", "c", "n", "sketch", "g", "count", F.lit(1 << 62).alias("above")))
     parts, depth = [], 0
+    many = cur.filter(F.col("count") > TILE)
+    stored = cur
+    if not many.isEmpty():
+        # near copies agree in the least of their buckets
+        first = many.groupBy("c").agg(F.min(F.struct("bucket", "n", "sketch", "g", "count")).alias("x")).select("c", "x.*")
+        first = first.withColumn("bucket", F.xxhash64("bucket", F.pmod(F.xxhash64("c"), F.ceil(F.col("count") / SMALL))))
+        parts.append(s.table(meet(first.select("bucket", "c", "n", "sketch", "g", alone))))
+        cur = known(cur, parts[0])
     while True:
         small = F.col("count") <= SMALL
         # a bucket that has not halved holds near copies, which no further split parts
@@ -321,27 +353,37 @@ def _edges(s: Scratch, reps: DataFrame, similarity: float) -> DataFrame:
         tiled = cur.filter(mass).withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("c"), F.col("tiles")).cast("int"))
         tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         tiled = tiled.withColumn("bucket", F.xxhash64("bucket", F.least("tile", "other"), F.greatest("tile", "other")))
-        parts.append(s.table(meet(cur.filter(small).select(*CELL).unionByName(tiled.select(*CELL))).distinct()))
+        parts.append(s.table(meet(cur.filter(small).withColumn("tile", alone).select(*CELL).unionByName(tiled.select(*CELL)))))
         large = cur.filter(~small & ~mass)
         if large.isEmpty():
             break
-        rows = large.select("bucket", "c", "n", "sketch", F.col("count").alias("above"))
-        rows = s.table(rows.mapInArrow(splitter(SPLIT + depth, depth), "bucket long, c long, n long, sketch binary, above long"))
-        s.drop(cur)
-        cur = s.table(met(rows, rows.count()))
+        rows = large.select("bucket", "c", "n", "sketch", "g", F.col("count").alias("above"))
+        rows = s.table(rows.mapInArrow(splitter(SPLIT + depth, depth), "bucket long, c long, n long, sketch binary, g long, above long"))
+        s.drop(stored)
+        cur = stored = s.table(met(rows, rows.count()))
         s.drop(rows)
         depth += 1
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return out if len(parts) == 1 else s.table(out.distinct())
+    return s.table(out.distinct())
+
+
+CELL = ["bucket", "c", "n", "sketch", "g", "tile"]
 
 
-CELL = ["bucket", "c", "n", "sketch"]
+def _joined(ok: np.ndarray, tile: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Groups of a cell of two tiles, with what is dense inside each: the cells of single tiles tell that."""
+    if (tile == tile[0]).all():
+        return group
+    i, j, dense = pairs_and_groups(ok & (tile[:, None] == tile))
+    _, first, same = np.unique(group, return_index=True, return_inverse=True)
+    at = np.arange(len(group))
+    return roots(np.concatenate([at, i[dense]]), np.concatenate([first[same], j[dense]]), len(group))
 
 
 def _brute(t: pa.Table, similarity: float):
-    k = t["bucket"].to_numpy()
+    k, group, tile = (t[c].to_numpy() for c in ("bucket", "g", "tile"))
     ids, n = t["c"].to_numpy(), t["n"].to_numpy().astype(float)
     s = _bytes2d(t["sketch"], SKETCH)
     first, ends = runs(k)
@@ -356,12 +398,13 @@ def _brute(t: pa.Table, similarity: float):
             i, j = (at[:, None] + x).ravel(), (at[:, None] + y).ravel()
             for c in range(0, len(i), 1 << 15):
                 p, q = i[c : c + (1 << 15)], j[c : c + (1 << 15)]
-                ok = (np.minimum(n[p], n[q]) >= similarity * np.maximum(n[p], n[q])) & ((s[p] == s[q]).mean(1) >= np.minimum(lo[p], lo[q]))
+                ok = (group[p] != group[q]) & (np.minimum(n[p], n[q]) >= similarity * np.maximum(n[p], n[q])) & ((s[p] == s[q]).mean(1) >= np.minimum(lo[p], lo[q]))
                 a.append(ids[p[ok]])
                 b.append(ids[q[ok]])
                 dense.append(np.zeros(int(ok.sum()), bool))
     for at, m in zip(first[size > 8], size[size > 8], strict=True):
-        i, j, d = pairs_and_groups(_similar(s[at : at + m], n[at : at + m], similarity))
+        ok = _similar(s[at : at + m], n[at : at + m], similarity)
+        i, j, d = pairs_and_groups(ok, _joined(ok, tile[at : at + m], group[at : at + m]))
         a.append(ids[at + i])
         b.append(ids[at + j])
         dense.append(d)

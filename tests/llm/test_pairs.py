@@ -93,6 +93,39 @@ def test_dense_pairs_become_groups():
     assert {tuple(sorted(p)) for p in zip(i[~dense].tolist(), j[~dense].tolist(), strict=True)} == {(a, b) for a in range(12, 40) for b in range(a + 1, 40) if ok[a, b]}
 
 
+def test_known_groups_are_not_told_again():
+    ok = ~np.eye(40, dtype=bool)
+    i, j, dense = jaccard.pairs_and_groups(ok, np.repeat([7, 8, 9, 7], 10))
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == [(10, 0), (20, 0)] and dense.all()
+    chain = np.eye(6, k=1, dtype=bool) | np.eye(6, k=-1, dtype=bool)
+    i, j, dense = jaccard.pairs_and_groups(chain, np.array([1, 1, 2, 3, 3, 3]))
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == [(1, 2), (2, 3)] and not dense.any()
+
+
+def test_near_copies_make_rows_in_proportion(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(jaccard, "SMALL", 64)
+    monkeypatch.setattr(jaccard, "TILE", 32)
+    brute = jaccard._brute
+
+    def told(t, similarity):
+        import uuid
+
+        for b in brute(t, similarity):
+            (tmp_path / f"{uuid.uuid4().hex}.{b.num_rows}").touch()
+            yield b
+
+    monkeypatch.setattr(jaccard, "_brute", told)
+    r = random.Random(5)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for k in range(300):
+        t = list(base)
+        t[r.randrange(200)] = f"e{k}"
+        texts.append(" ".join(t))
+    check_jaccard(spark, texts)
+    assert sum(int(f.suffix[1:]) for f in tmp_path.iterdir()) <= 10 * len(texts)
+
+
 def plain_keep(rows):
     """Rows that stay where one of each class of near copies does; a row is (id, text)."""
     sets = {}
