@@ -24,10 +24,11 @@ import re
 import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,9 +38,13 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 _SPLIT = regex.compile(PRETOKEN)
 #: A space before a character that is no white space under any reading always starts a pretoken.
 _SAFE = re.compile(r" (?=[^\s\x1c-\x1f\x85])")
+#: Any other space.
+_LOOSE = re.compile(r" (?:[\s\x1c-\x1f\x85]|\Z)")
 BLOCK = 1 << 12
 CHUNK = 1 << 16
 CACHE = 1 << 17
+#: Characters of texts whose words are merged together.
+GROUP = 1 << 21
 _NONE = 1 << 60
 
 
@@ -106,10 +111,12 @@ class ByteBPE:
         self.lookahead = worst
         self._rank = {a << 20 | b: r for (a, b), (r, _) in self.merges.items()}
         self._made = {r: ab for r, ab in self.merges.values()}
+        self._pairs = _Pairs(self._rank, self._made)
         self.special = {t["content"]: t["id"] for t in j.get("added_tokens", [])}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
+        self._spelling = _Spelling(self.bytes_of)
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self._words, self._segments = _Cache(), _Cache()
+        self._words = _Cache()
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one pretoken's bytes held as a whole."""
@@ -152,6 +159,45 @@ class ByteBPE:
                 heapq.heappush(heap, (r[0], p, ids[p], ids[i]))
         return [t for t in ids if t is not None]
 
+    def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many pretokens of 1 to 64 bytes in one array, and their number in each: those of like length go
+        together, one merge of each at a time."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        order, counts, pieces = sizes.argsort(kind="stable"), sizes.copy(), []
+        byte_id = np.array(self.byte_id, np.int32)
+        for k in range(0, len(order), _ROWS):
+            who = order[k : k + _ROWS]
+            size = sizes[who]
+            # a column more than the longest, so that every pair's right neighbour is there
+            ids = np.full((len(who), size[-1] + 1), -1, np.int32)
+            ids[np.arange(size[-1] + 1) < size[:, None]] = byte_id[np.frombuffer(b"".join([words[i] for i in who.tolist()]), np.uint8)]
+            ranks = self._pairs.ranks(ids[:, :-1], ids[:, 1:])
+            while len(who):
+                at = ranks.argmin(1)
+                best = ranks[np.arange(len(who)), at]
+                if (done := best == _Pairs.NONE).any():
+                    pieces.append((who[done], ids[done]))
+                    on = ~done
+                    who, ids, ranks, at, best = who[on], ids[on], ranks[on], at[on], best[on]
+                    if not len(who):
+                        break
+                rows = np.arange(len(who))
+                ids[rows, at] = made = self._pairs.made[best]
+                ids = _without(ids, at + 1)
+                ranks = _without(ranks, at)
+                ranks[rows, at] = self._pairs.ranks(made, ids[rows, at + 1])
+                rows = np.flatnonzero(at)
+                before = at[rows] - 1
+                ranks[rows, before] = self._pairs.ranks(ids[rows, before], made[rows])
+                counts[who] -= 1
+        starts = counts.cumsum() - counts
+        out = np.empty(counts.sum(), np.int32)
+        for who, ids in pieces:
+            cols = np.arange(ids.shape[1])
+            there = cols < counts[who][:, None]
+            out[(starts[who][:, None] + cols)[there]] = ids[there]
+        return out, counts
+
     def pretoken(self, word: str) -> bytes:
         """Packed ids of one pretoken."""
         ids = self._words.get(word)
@@ -165,37 +211,90 @@ class ByteBPE:
                 self._words.put(word, ids)
         return ids
 
-    def _segment(self, s: str) -> bytes:
-        return b"".join(map(self.pretoken, _SPLIT.findall(s)))
-
-    def _plain(self, text: str) -> bytearray:
-        """Packed ids of a text without special tokens, segment by segment."""
-        parts = text.split(" ")
-        out = bytearray(self._segment(parts[0])) if parts[0] else bytearray()
-        new, seg = self._segments.new.get, self._segments
-        for p in parts[1:]:
-            ids = new(p)
-            if ids is None:
-                ids = seg.get(p)
-                if ids is None:
-                    if not p or p[0].isspace() or p[0] == "\x85":
-                        out = bytearray()
-                        for s in _cut(text):
-                            out += self._segment(s)
-                        return out
-                    if p.isalpha():
-                        ids = self.pretoken(" " + p)
-                    elif p[-1] in ",." and p[:-1].isalpha():
-                        ids = self.pretoken(" " + p[:-1]) + self.pretoken(p[-1])
-                    else:
-                        ids = self._segment(" " + p)
-                    if len(p) <= 64:
-                        seg.put(p, ids)
-                new = seg.new.get
-            out += ids
-        return out
+    def _plain(self, text: str) -> bytes:
+        """Packed ids of a text without special tokens."""
+        if len(text) > BLOCK:
+            return self._plain_all([text])[0]
+        return b"".join(map(self.pretoken, _SPLIT.findall(text)))
+
+    def _plain_all(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of texts without special tokens; a word that many hold is looked at once.
+
+        Texts are cut at spaces that start a pretoken, and their parts numbered by content; the first part of each has no
+        space before it and gets a number of its own.
+        """
+        parts, lens = self._parts(texts)
+        if None in self.byte_id or parts is None:
+            return [b"".join(map(self.pretoken, _SPLIT.findall(t))) for t in texts]
+        coded = parts.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        alpha = np.fromiter(map(str.isalpha, distinct), bool, len(distinct))
+        lone = [" " + p for p, a in zip(distinct, alpha.tolist(), strict=True) if a]
+        # parts of one pretoken come first, then the others, then the first part of each text
+        numbers = np.where(alpha, alpha.cumsum(), len(lone) + (~alpha).cumsum())[coded.indices.to_numpy()] - 1
+        ends = lens.cumsum()
+        numbers[ends - lens] = len(distinct) + np.arange(len(texts))
+        n_words, words = [1] * len(lone), []
+        for p, a in zip(distinct, alpha.tolist(), strict=True):
+            if not a:
+                pre = self._pretokens(p)
+                n_words.append(len(pre))
+                words += pre
+        for i in (ends - lens).tolist():
+            pre = _SPLIT.findall(parts[i].as_py())
+            n_words.append(len(pre))
+            words += pre
+        place = {w: i for i, w in enumerate(dict.fromkeys(words), len(lone))}
+        which = np.fromiter(chain(range(len(lone)), map(place.__getitem__, words)), np.int64, len(lone) + len(words))
+
+        words = lone + list(place)
+        data = [w.encode() for w in words]
+        short = np.fromiter(map(len, data), np.int64, len(data)) <= 64
+        ids, counts = self.merge_all([d for d in data if len(d) <= 64])
+        long = [np.frombuffer(self.pretoken(words[i]), np.int32) for i in np.flatnonzero(~short).tolist()]
+        size = np.empty(len(data), np.int64)
+        size[short], size[~short] = counts, [len(x) for x in long]
+        start = np.empty(len(data), np.int64)
+        start[short] = counts.cumsum() - counts
+        start[~short] = len(ids) + size[~short].cumsum() - size[~short]
+        ids = np.concatenate([ids, *long])
+
+        where, upto = _runs(start, size, which)
+        ids, upto = ids[where], np.concatenate([[0], upto])[np.concatenate([[0], np.cumsum(n_words)])]
+        where, tokens = _runs(upto[:-1], np.diff(upto), numbers)
+        raw = ids[where].tobytes()
+        at = (4 * tokens[ends - 1]).tolist()
+        return [raw[x:y] for x, y in pairwise([0, *at])]
+
+    @staticmethod
+    def _parts(texts: list[str]) -> tuple[pa.Array | None, np.ndarray]:
+        """Parts of all texts, and their number in each; None where a text holds what UTF-8 does not."""
+        loose = {i: list(_cut(t)) for i, t in enumerate(texts) if _LOOSE.search(t) is not None}
+        try:
+            split = pc.split_pattern(pa.array(["" if i in loose else t for i, t in enumerate(texts)], pa.string()), " ")
+            if not loose:
+                return split.values, split.value_lengths().to_numpy().astype(np.int64)
+            more = pa.array(list(chain.from_iterable(loose.values())), pa.string())
+        except UnicodeEncodeError:
+            return None, np.zeros(0, np.int64)
+        # a text that was cut by hand stands as one empty part so far
+        lens = split.value_lengths().to_numpy().astype(np.int64)
+        start, at = lens.cumsum() - lens, list(loose)
+        lens[at] = [len(c) for c in loose.values()]
+        start[at] = len(split.values) + lens[at].cumsum() - lens[at]
+        where, _ = _runs(start, lens, np.arange(len(texts)))
+        return pa.concat_arrays([split.values, more]).take(pa.array(where)), lens
 
-    def encode_packed(self, text: str) -> bytes | bytearray:
+    @staticmethod
+    def _pretokens(p: str) -> list[str]:
+        """Pretokens of a space and what follows it, which starts with no white space."""
+        if p.isalpha():
+            return [" " + p]
+        if p[-1:] in (",", ".") and p[:-1].isalpha():
+            return [" " + p[:-1], p[-1]]
+        return _SPLIT.findall(" " + p)
+
+    def encode_packed(self, text: str) -> bytes:
         """Ids of a whole text as 32-bit integers; long texts go through ``encode_stream``."""
         if len(text) > CHUNK:
             return b"".join(self.encode_stream(text[k : k + CHUNK] for k in range(0, len(text), CHUNK)))
@@ -203,6 +302,22 @@ class ByteBPE:
             return self._plain(text)
         return b"".join(self.encode_stream([text]))
 
+    def encode_rows(self, texts: list[str | None]) -> list[bytes]:
+        """Packed ids of each text, null ones empty; plain short texts go together, ``GROUP`` characters or so at a time."""
+        out: list[bytes] = [b""] * len(texts)
+        group, n = [], 0
+        for i, t in enumerate(texts):
+            if t and (len(t) > CHUNK or self._special is not None and self._special.search(t)):
+                out[i] = self.encode_packed(t)
+            elif t:
+                group.append(i)
+                n += len(t)
+            if group and (n >= GROUP or i + 1 == len(texts)):
+                for k, ids in zip(group, self._plain_all([texts[k] for k in group]), strict=True):
+                    out[k] = ids
+                group, n = [], 0
+        return out
+
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text), np.int32).tolist()
 
@@ -285,17 +400,73 @@ class ByteBPE:
     def decode_stream(self, ids: Iterable[list[int]]) -> Iterator[str]:
         """Text of ids that come in lists: bytes become characters once these are whole."""
         text = Utf8()
-        get = self.bytes_of.__getitem__
         for part in ids:
-            yield text.push(b"".join(map(get, part)))
+            yield text.push(self._spelling.join(part))
         yield text.finish()
 
     def decode(self, ids) -> str:
+        """Text of a list or an array of ids."""
         if len(ids) <= CHUNK:
-            return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+            return self._spelling.join(ids).decode("utf-8", "replace")
         return "".join(self.decode_stream(ids[i : i + CHUNK] for i in range(0, len(ids), CHUNK)))
 
 
+class _Pairs:
+    """Ranks of many pairs of tokens at once."""
+
+    NONE = (1 << 31) - 1
+
+    def __init__(self, rank: dict[int, int], made: dict[int, int]) -> None:
+        keys = np.array([*rank, _NONE], np.int64)
+        order = keys.argsort()
+        self.keys, self.rank = keys[order], np.array([*rank.values(), self.NONE], np.int32)[order]
+        self.made = np.zeros(max(made, default=-1) + 1, np.int32)
+        self.made[list(made)] = list(made.values())
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair's merge; ``NONE`` where there is none or a token is -1."""
+        key = (a.astype(np.int64) << 20) + b
+        at = self.keys.searchsorted(key)
+        return np.where(self.keys[at] == key, self.rank[at], self.NONE)
+
+
+class _Spelling:
+    """Bytes of tokens, all in one array."""
+
+    def __init__(self, bytes_of: dict[int, bytes]) -> None:
+        top = max(bytes_of, default=-1) + 1
+        size = np.full(top, -1, np.int64)
+        size[list(bytes_of)] = [len(t) for t in bytes_of.values()]
+        self.size, self.start = size, np.maximum(size, 0).cumsum() - np.maximum(size, 0)
+        self.bytes = np.frombuffer(b"".join(bytes_of[i] for i in range(top) if i in bytes_of), np.uint8)
+
+    def join(self, ids) -> bytes:
+        """Bytes of all ids, in their order; an id that the vocabulary lacks raises."""
+        ids = np.asarray(ids, np.int64)
+        if not len(ids):
+            return b""
+        if ids.min() < 0 or ids.max() >= len(self.size) or self.size[ids].min() < 0:
+            raise KeyError(next(i for i in ids.tolist() if not 0 <= i < len(self.size) or self.size[i] < 0))
+        return self.bytes[_runs(self.start, self.size, ids)[0]].tobytes()
+
+
+def _runs(start: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the runs asked for, one after the other, and where each ends among them."""
+    n = size[which]
+    ends = n.cumsum()
+    at = np.repeat(start[which] - ends + n, n)
+    at += np.arange(len(at))
+    return at, ends
+
+
+def _without(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A matrix that has lost one cell in each row."""
+    return x[np.arange(x.shape[1]) != at[:, None]].reshape(len(x), -1)
+
+
+_ROWS = 1 << 11
+
+
 def pack(ids: list[int]) -> bytes:
     return _PACK[len(ids)].pack(*ids) if len(ids) < 64 else np.array(ids, np.int32).tobytes()
 
@@ -306,13 +477,12 @@ _RUNS = [regex.compile(r"\p{L}+"), regex.compile(r"\p{N}+"), regex.compile(r"[^\
 
 
 def _cut(text: str) -> Iterator[str]:
+    """What lies between the spaces that start a pretoken."""
     at = 0
     for m in _SAFE.finditer(text):
-        if m.start() > at:
-            yield text[at : m.start()]
-            at = m.start()
-    if at < len(text):
-        yield text[at:]
+        yield text[at : m.start()]
+        at = m.end()
+    yield text[at:]
 
 
 class Transducer:
@@ -390,7 +560,7 @@ def encode(df: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id",
         for b in batches:
             texts = b.column(1)
             for i in range(0, b.num_rows, 512):
-                ids = [bpe.encode_packed(t) if t else b"" for t in texts.slice(i, 512).to_pylist()]
+                ids = bpe.encode_rows(texts.slice(i, 512).to_pylist())
                 ends = np.cumsum([0, *map(len, ids)]) // 4
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 512), lists], ["id", "ids"])
@@ -407,9 +577,11 @@ def decode(df: DataFrame, vocabulary: str | None = None, id_col: str = "id", ids
     def run(batches):
         bpe = load(path)
         for b in batches:
-            ids = b.column(n + 1)
             for i in range(0, b.num_rows, 512):
-                texts = [bpe.decode(x) if x else "" for x in ids.slice(i, 512).to_pylist()]
+                ids = b.column(n + 1).slice(i, 512)
+                flat = ids.flatten().to_numpy()
+                ends = np.cumsum(ids.value_lengths().fill_null(0).to_numpy()).tolist()
+                texts = [bpe.decode(flat[x:y]) for x, y in pairwise([0, *ends])]
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, 512) for c in range(n + 1)), pa.array(texts, pa.string())], ["id", *keep, "decoded"])
 
     rows = df.select(F.col(id_col).alias("id"), *keep, F.col(ids_col).alias("ids"))

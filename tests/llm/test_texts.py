@@ -566,3 +566,41 @@ def test_url_suffixes_count_every_row(spark, monkeypatch):
         got = {r.suffix: r for r in kept[-1].select("suffix", "suffix_seen", "suffix_blocked").distinct().collect()}
         for suffix, n, rate in (("org", 60, 31 / 62), ("com", 30, 31 / 32), ("net", 30, 61 / 92)):
             assert abs(got[suffix].suffix_seen - math.log1p(n)) < 1e-9 and abs(got[suffix].suffix_blocked - rate) < 1e-9
+
+
+def test_bpe_merges_the_words_of_many_texts_at_once(reference, monkeypatch):
+    b = bpe.load.__wrapped__(bpe.default_vocabulary())
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("etaoinshrdlué漢") for _ in range(r.randint(1, 25)))
+    ends = ["", "", "", ",", ".\n", "  ", " \t", "'ll", "42"]
+    texts = [" ".join(word() + r.choice(ends) for _ in range(r.randint(0, 80))) for _ in range(300)]
+    texts += ["", None, " ", "  ", " a", "a ", "\n", "x<|endoftext|> y", "ab" * 60 + " ba", "la " * 30_000, "the" * 40_000]
+    want = [reference.encode(t or "", add_special_tokens=False).ids for t in texts]
+    once, merge = [], bpe.ByteBPE.merge
+    monkeypatch.setattr(bpe.ByteBPE, "merge", lambda self, data: once.append(data) or merge(self, data))
+    many = " ".join(word() for _ in range(3000))
+    assert b.encode(many) == reference.encode(many, add_special_tokens=False).ids
+    assert len([x for x in once if len(x) <= 64]) < 20
+    once.clear()
+    monkeypatch.setattr(bpe, "GROUP", 20_000)
+    assert [np.frombuffer(x, np.int32).tolist() for x in b.encode_rows(texts)] == want
+    assert len([x for x in once if len(x) <= 64]) < 20
+    assert [np.frombuffer(b.encode_packed(t or ""), np.int32).tolist() for t in texts] == want
+    assert b.encode_packed(" a\ud800 b" * 2000) == b.encode_packed(" a\ud800 b") * 2000
+
+
+def test_bpe_decodes_arrays(reference):
+    b = bpe.load(bpe.default_vocabulary())
+    r = np.random.default_rng(4)
+    for n in (0, 1, 50, 3000, 200_000):
+        ids = r.integers(0, 50_257, n).astype(np.int32)
+        assert b.decode(ids) == b.decode(ids.tolist()) == reference.decode(ids.tolist(), skip_special_tokens=False)
+    for lacking in (-1, 60_000):
+        with pytest.raises(KeyError):
+            b.decode([5, lacking])
+
+
+def test_bpe_decodes_frames_of_odd_lists(spark):
+    rows = [(1, [31373, 995], "k"), (2, [], "l"), (3, None, None), (None, [164], "m"), (4, [31373], "n")]
+    got = bpe.decode(spark.createDataFrame(rows, "id long, ids array<int>, extra string").coalesce(1), keep=("extra",)).collect()
+    assert [tuple(x) for x in got] == [(1, "k", "hello world"), (2, "l", ""), (3, None, ""), (None, "m", "�"), (4, "n", "hello")]
